@@ -8,12 +8,61 @@ from pyspark.sql import functions as F
 from siltline.session import table
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.pii import BASE, spans_of
+
+    found = spans_of(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), *(f"n_{k}" for k in BASE), F.sha2("base", 256).alias("base_sha256"), "spans", "n_iban", "n_id")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from siltline.llm.bpe import digests
+
+    found = digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.lm import BackoffScorer, held_out
+
+    scored = BackoffScorer().score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return scored.select(F.col("id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.lm import held_out
+    from siltline.llm.toxicity import fit, scored
+
+    docs, unseen = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    model = fit(docs, table(spark, sf_dir, "labels"), ~unseen)
+    found = scored(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", unseen.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.substring import SubstringDedup
+
+    found = SubstringDedup().run_on(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm.lm import held_out
+    from siltline.llm.quality import fit, graded
+
+    docs, unseen = table(spark, sf_dir, "documents"), held_out("doc_id", 5, 0)
+    found = graded(docs, fit(docs, table(spark, sf_dir, "labels"), ~unseen))
+    return found.withColumnRenamed("id", "doc_id").withColumn("held_out", unseen)
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.rules import judged
 
