@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from siltline.session import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from siltline.llm import warc
+
+    found = warc.read(warc.write(table(spark, sf_dir, "pages")), payloads=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", F.col("kind").alias("record_type"), "refers_to")
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.pii import BASE, spans_of
 
@@ -15,6 +22,21 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *(f"n_{k}" for k in BASE), F.sha2("base", 256).alias("base_sha256"), "spans", "n_iban", "n_id")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per contaminated document: its items (least id of equal ones), the best similarity and where it starts."""
+    from siltline.llm.decontam import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    best = F.array_max(F.transform("matches", lambda m: F.struct(m["similarity"], -m["start"], m["bits"])))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("matches").cast("long").alias("n_items"),
+        F.concat_ws(",", F.transform("matches", lambda m: m["item_id"].cast("string"))).alias("item_ids"),
+        F.round(best["similarity"], 6).alias("similarity"),
+        (-best["col2"]).alias("start"),
+    )
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

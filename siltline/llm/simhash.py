@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from siltline.llm.text import raw_bytes, slices
 from siltline.operators.graph import connected_components
-from siltline.session import cut, ship
+from siltline.session import cut, ship, written
 
 RADIUS, SEGMENTS = 3, 8
 WIDTH = 64 // SEGMENTS
@@ -173,7 +173,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named.hint("merge"), "fp").select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows whose component has a lesser id. Rows with a null id all stay; rows that repeat the least id stay too."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id > component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti")
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """docs with one row of each component: that of the least id, its id null only if all are.
+
+    Of rows that repeat the least id one stays. All columns stay as they are.
+    """
+    columns = docs.columns
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
+
+    def run(batches):
+        for b in slices(batches, text_col):
+            fps = np.array([fingerprint(x, shingle) for x in raw_bytes(b.column(text_col))], np.uint64).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps)], [*columns, "fp__"])
+
+    ship(docs.sparkSession)
+    marked = written(docs.mapInArrow(run, f"{kinds}, fp__ long"), "marked")
+    prints = marked.select(F.col(id_col).cast("long").alias("id"), F.col("fp__").alias("fp"))
+    named = components(prints).withColumnsRenamed({"fp": "fp__", "component_id": "component__"})
+    least = F.col(id_col).cast("long").eqNullSafe(F.col("component__"))
+    twice = prints.join(named.select(F.col("fp__").alias("fp"), "component__").hint("merge"), "fp").where(F.col("id").eqNullSafe(F.col("component__")))
+    # as a rule no id repeats, and then nothing has to move for it
+    twice = cut(twice.groupBy(F.col("component__").alias("again__")).count().where("count > 1").select("again__"))
+    kept = marked.join(named.hint("merge"), "fp__").where(least)
+    if twice.isEmpty():
+        return kept.select(*columns)
+    same = F.col("component__").eqNullSafe(F.col("again__"))
+    single = kept.join(twice, same, "left_anti").select(*columns)
+    return single.unionByName(kept.join(twice, same, "left_semi").dropDuplicates(["component__"]).select(*columns))
