@@ -1 +1,93 @@
+"""Scalar functions as column expressions."""
 
+from __future__ import annotations
+
+import fnmatch
+import re
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+UNITS = ("B", "KiB", "MiB", "GiB", "TiB", "PiB")
+
+
+def round_up(x: Column, to: int) -> Column:
+    """The least multiple of `to` that is not below x."""
+    return F.floor((x + to - 1) / to) * to
+
+
+def human_size(n: Column) -> Column:
+    """Bytes in the largest unit that leaves 1 or more, one decimal beyond bytes."""
+    out = F.concat(n.cast("long").cast("string"), F.lit(" B"))
+    for k, unit in enumerate(UNITS[1:], 1):
+        scaled = F.round(n.cast("double") / 1024**k, 1)
+        out = F.when(n >= 1024**k, F.concat(scaled.cast("decimal(20,1)").cast("string"), F.lit(f" {unit}"))).otherwise(out)
+    return out
+
+
+def parse_size(text: Column) -> Column:
+    """Bytes of 64M, 1.5G, 0x200 or 512; null for anything else."""
+    hexa = F.regexp_extract(text, r"(?i)^0x([0-9a-f]{1,15})$", 1)
+    number = F.regexp_extract(text, r"(?i)^([0-9]+(?:\.[0-9]+)?)([kmgtp]?)(?:i?b)?$", 1)
+    unit = F.lower(F.regexp_extract(text, r"(?i)^([0-9]+(?:\.[0-9]+)?)([kmgtp]?)(?:i?b)?$", 2))
+    factor = F.lit(1).cast("decimal(20,0)")
+    for k, letter in enumerate("kmgtp", 1):
+        factor = F.when(unit == letter, F.lit(1024**k).cast("decimal(20,0)")).otherwise(factor)
+    plain = F.when(number != "", F.floor(F.when(number != "", number).cast("decimal(18,3)") * factor).cast("long"))
+    return F.when(hexa != "", F.conv(hexa, 16, 10).cast("long")).otherwise(plain)
+
+
+def parent_of(path: Column) -> Column:
+    return F.when(F.instr(path, "/") > 0, F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.lit(""))
+
+
+def base_name(path: Column) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def depth(path: Column) -> Column:
+    return F.length(path) - F.length(F.replace(path, F.lit("/"), F.lit("")))
+
+
+def glob(path: Column, pattern: str) -> Column:
+    """The path equals the pattern, lies below it, or matches it as a case-sensitive glob in which * crosses slashes."""
+    base = pattern.rstrip("/")
+    matched = (path == base) | F.startswith(path, F.lit(base + "/"))
+    if re.search(r"[*?\[]", pattern):
+        inner = fnmatch.translate(pattern).removeprefix("(?s:").removesuffix(r")\z").removesuffix(r")\Z")
+        matched = matched | path.rlike(f"^(?s:{inner})$")
+    return matched
+
+
+def contains_text(text: Column, part: str) -> Column:
+    """Case-insensitive search for the part as it stands: wildcards in it are letters."""
+    return F.contains(F.lower(text), F.lit(part.lower()))
+
+
+def safe_name(name: Column) -> Column:
+    """Names that any file system takes: control and reserved characters, a trailing dot or blank as %XX."""
+    escaped = F.regexp_replace(name, "%", "%25")
+    for c in '<>:"/\\|?*':
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    escaped = F.regexp_replace(escaped, r"\.$", "%2E")
+    return F.regexp_replace(escaped, " $", "%20")
+
+
+def file_mode(mode: Column, kind: Column) -> Column:
+    """A mode as ls -l prints it (without set-id letters)."""
+    out = F.when(kind == "dir", "d").when(kind == "symlink", "l").otherwise("-")
+    parts = [out]
+    for shift in (6, 3, 0):
+        for bit, letter in ((4, "r"), (2, "w"), (1, "x")):
+            parts.append(F.when(F.shiftright(mode, shift).bitwiseAND(F.lit(bit)) != 0, letter).otherwise("-"))
+    return F.concat(*parts)
+
+
+def bit_field(word: Column, low: int, bits: int) -> Column:
+    """Bits low .. low+bits-1 of a 64-bit word."""
+    return F.shiftrightunsigned(word, low).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def all_zero(data: Column) -> Column:
+    """Whether a binary column holds zero bytes only."""
+    return F.length(F.replace(F.hex(data), F.lit("00"), F.lit(""))) == 0

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from siltline.plans import checks, coverage, relational  # noqa: F401  (they register themselves)
+from siltline.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
