@@ -1,9 +1,10 @@
 """Quality rules as weak supervision, in DataFrame functions only.
 
 Rules vote good (1), bad (0) or abstain (null). Expectation-maximisation over the vote patterns
-estimates each rule's accuracy and the share of good documents; a document's posterior probability
-of being good replaces an all-must-pass filter. Each round sees all documents, aggregated to the distinct vote
-patterns (at most 3 to the number of rules), so the driver handles a table of proven size.
+estimates how often each rule is right on good and on bad documents, and the share of good ones; a
+document's posterior probability of being good replaces an all-must-pass filter. The two accuracies
+differ: a rule that finds one kind of junk passes most other junk, so its good votes say little and its bad ones much. Each round sees all documents, aggregated to the distinct vote
+patterns (at most 3 to the number of rules, which is seven), so the driver handles a table of proven size.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from siltline.session import cut
 #: The word separators: space and TAB..CR.
 BLANK = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -40,6 +42,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(_covered("s"), F.lit(0)).cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
+        (F.length("t") - F.length(F.translate("t", UPPER, ""))).cast("long").alias("n_upper"),
     )
 
 
@@ -66,46 +69,61 @@ def default_rules() -> dict[str, Column]:
         "length": vote(n >= 80, n < 50),
         "word_length": vote((mean >= 3) & (mean <= 9), (mean < 2.5) | (mean > 12)),
         "symbols": vote(ratio("n_symbols", "n_words") < 0.05, ratio("n_symbols", "n_words") > 0.3),
-        "dup_lines": vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), ratio("n_dup_lines", "n_lines") > 0.3),
+        "symbol_share": vote(ratio("n_symbols", "word_chars") < 0.02, ratio("n_symbols", "word_chars") > 0.1),
+        "dup_lines": vote((F.col("n_dup_lines") == 0) & (F.col("n_lines") > 1), (F.col("n_dup_lines") >= 2) & (ratio("n_dup_lines", "n_lines") > 0.3)),
+        "shouting": vote(ratio("n_upper", "word_chars") < 0.15, ratio("n_upper", "word_chars") > 0.3),
         "repeats": vote((ratio("n_repeat_words", "n_words") < 0.2) & (n >= 50), ratio("n_repeat_words", "n_words") > 0.5),
     }
 
 
-def fit(votes: DataFrame, rules: Sequence[str], rounds: int = 30, prior: float = 0.8, start: float = 0.8) -> dict:
-    """Accuracies and prior by expectation-maximisation over the vote patterns.
+def fit(votes: DataFrame, rules: Sequence[str], rounds: int = 60, prior: float = 0.8, start: tuple[float, float] = (0.95, 0.3)) -> dict:
+    """Accuracies per rule, (on good documents, on bad ones), and the prior, by expectation-maximisation over the vote patterns.
 
-    A rule r has accuracy a_r, the probability that its vote, when given, is right. Accuracies keep to
-    [0.55, 0.99] (a rule is never taken to be wrong on purpose) and each is smoothed by one right and
-    one wrong vote; the prior keeps to [0.05, 0.95]. No rows: the start values.
+    Each accuracy is the probability that a vote, when given, is right. They are smoothed by one right and one wrong
+    vote, and a rule's bad vote always speaks against a document: its accuracies add up to more than 1.
+    The prior keeps to [0.05, 0.95]. No rows: the start values.
     """
     patterns = votes.groupBy(*rules).count().collect()  # at most 3 ** len(rules) rows
     acc, p = dict.fromkeys(rules, start), prior
     for _ in range(rounds if patterns else 0):
-        right, given, good, total = dict.fromkeys(rules, 1.0), dict.fromkeys(rules, 2.0), 0.0, 0
+        right = {r: [1.0, 1.0] for r in rules}
+        given = {r: [2.0, 2.0] for r in rules}
+        good, total = 0.0, 0
         for row in patterns:
             post = posterior_of({r: row[r] for r in rules}, acc, p)
             good, total = good + post * row["count"], total + row["count"]
             for r in rules:
-                if row[r] is not None:
-                    given[r] += row["count"]
-                    right[r] += row["count"] * (post if row[r] == 1 else 1 - post)
-        acc = {r: min(0.99, max(0.55, right[r] / given[r])) for r in rules}
+                for k, weight in enumerate((post, 1 - post)):
+                    if row[r] is not None:
+                        given[r][k] += weight * row["count"]
+                        right[r][k] += weight * row["count"] * (row[r] == 1 - k)
+        acc = {}
+        for r in rules:
+            on_good, on_bad = (min(0.999, max(0.001, right[r][k] / given[r][k])) for k in (0, 1))
+            acc[r] = (on_good, max(on_bad, 1.02 - on_good))
         p = min(0.95, max(0.05, good / total))
     return {"accuracy": acc, "prior": p}
 
 
+def weights(accuracy: tuple[float, float]) -> tuple[float, float]:
+    """Log-odds that a good and a bad vote add."""
+    on_good, on_bad = accuracy
+    return math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
+
+
 def posterior_of(votes: dict, acc: dict, prior: float) -> float:
     odds = math.log(prior / (1 - prior))
     for r, v in votes.items():
         if v is not None:
-            odds += (1 if v == 1 else -1) * math.log(acc[r] / (1 - acc[r]))
+            odds += weights(acc[r])[1 - v]
     return 1 / (1 + math.exp(-odds))
 
 
 def posterior(model: dict) -> Column:
     odds = F.lit(math.log(model["prior"] / (1 - model["prior"])))
-    for r, a in model["accuracy"].items():
-        odds = odds + F.coalesce(F.col(r) * 2 - 1, F.lit(0)) * F.lit(math.log(a / (1 - a)))
+    for r, accuracy in model["accuracy"].items():
+        for_good, for_bad = weights(accuracy)
+        odds = odds + F.when(F.col(r) == 1, for_good).when(F.col(r) == 0, for_bad).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
