@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PER_CLASS, MAX_BYTES = 5000, 48 << 20
+MAX_PER_CLASS, MAX_BYTES = 4000, 20 << 20
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, id_col: str = "doc_id", text_col: str = "text", per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES):

@@ -24,6 +24,8 @@ BUCKETS = 1 << 16
 #: Slots behind the hashed buckets: text length (log2 of words) and ten classes each of five shares.
 LENGTHS, SHARES = 24, 5
 SIZE = BUCKETS + LENGTHS + 11 * SHARES
+#: Texts are turned into features so many at a time in training.
+CHUNK = 500
 
 
 def word_buckets(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -65,7 +67,10 @@ def features(texts: pa.Array):
     classes = (shares(texts, at, ids, coded.dictionary) * 10).astype(np.int64).clip(0, 10) + BUCKETS + LENGTHS + 11 * np.arange(SHARES)
     row = np.concatenate([doc, doc, rows, np.repeat(rows, SHARES)])
     slot = np.concatenate([word[ids], shape[ids], length, classes.ravel()])
-    return row, slot, np.concatenate([value * 4, value * 4, np.full(len(rows), 0.5), np.full(len(rows) * SHARES, 0.5)])
+    value = np.concatenate([value * 4, value * 4, np.full(len(rows), 0.5), np.full(len(rows) * SHARES, 0.5)])
+    # one entry per text and slot
+    keys, place = np.unique(row * SIZE + slot, return_inverse=True)
+    return (keys // SIZE).astype(np.int32), (keys % SIZE).astype(np.int32), np.bincount(place, value, len(keys)).astype(np.float32)
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -99,9 +104,9 @@ def train(texts: pa.Array, grades: np.ndarray, epochs: int = 12, rate: float = 0
         return OrdinalModel(levels.astype(float), np.zeros(SIZE), np.zeros(0))
     rank, k = np.searchsorted(levels, grades), len(levels) - 1
     balance = (len(rank) / (len(levels) * np.bincount(rank)))[rank]
-    row, slot, value = features(texts)
-    order = np.argsort(row, kind="stable")
-    row, slot, value = row[order], slot[order], value[order]
+    parts = [features(texts.slice(i, CHUNK)) for i in range(0, len(texts), CHUNK)]
+    row = np.concatenate([p[0] + k * CHUNK for k, p in enumerate(parts)])
+    slot, value = (np.concatenate([p[i] for p in parts]) for i in (1, 2))
     ends = np.searchsorted(row, np.arange(len(texts) + 1))
     rng = np.random.default_rng(seed)
     params = [np.zeros(SIZE), np.concatenate([[0.0], np.zeros(k - 1)])]

@@ -25,8 +25,20 @@ BUCKETS, DIM, SIZES = 1 << 16, 8, (3, 4, 5)
 EDGE = ".,;:!?()[]{}<>\"'`#*$%&|_~^+=/\\-"
 
 
+#: Words are cut into bags so many at a time, which bounds the work arrays.
+CHUNK = 1 << 15
+
+
 def bags(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, ends): the subword buckets of each word, one after the other; every word has one at least."""
+    parts = [_bags(words.slice(i, CHUNK)) for i in range(0, len(words), CHUNK)]
+    if not parts:
+        return np.zeros(0, np.uint16), np.zeros(0, np.int64)
+    before = np.cumsum([0] + [len(p[0]) for p in parts[:-1]])
+    return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + n for p, n in zip(parts, before, strict=True)])
+
+
+def _bags(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     words = pc.utf8_trim(pc.utf8_lower(words), characters=EDGE)
     marked = pc.binary_join_element_wise("<", words, ">", "")
     length = pc.utf8_length(marked).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -49,7 +61,7 @@ def bags(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         whole = prefix[ends] - prefix[ends - length]
     found.append(mixed(whole) % np.uint64(BUCKETS))
     owner.append(np.arange(len(length)))
-    owner, found = np.concatenate(owner), np.concatenate(found).astype(np.int32)
+    owner, found = np.concatenate(owner), np.concatenate(found).astype(np.uint16)
     order = np.argsort(owner, kind="stable")
     return found[order], np.cumsum(np.bincount(owner, minlength=len(length)))
 
@@ -67,9 +79,12 @@ class ToxicityModel:
     def words(self, words: pa.Array) -> np.ndarray:
         if not len(words):
             return np.zeros(0, np.float32)
-        buckets, ends = bags(words)
-        starts = np.concatenate([[0], ends[:-1]])
-        return np.add.reduceat(self.margin[buckets], starts) / (ends - starts) + self.bias
+        out = np.empty(len(words), np.float32)
+        for i in range(0, len(words), CHUNK):
+            buckets, ends = _bags(words.slice(i, CHUNK))
+            starts = np.concatenate([[0], ends[:-1]])
+            out[i : i + CHUNK] = np.add.reduceat(self.margin[buckets], starts) / (ends - starts) + self.bias
+        return out
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
@@ -153,7 +168,9 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rounds: int = 6,
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     n = len(coded.dictionary)
     pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(at)) * n + ids)
-    doc, ids = pairs // n, pairs % n
+    del words
+    doc, ids = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
+    del pairs
     at = np.searchsorted(doc, np.arange(len(texts) + 1))
     held = np.bincount(ids, minlength=n)
     toxic = np.bincount(ids, labels[doc].astype(float), n) / held
