@@ -107,12 +107,12 @@ def bucket_links(fps: np.ndarray, start: int) -> list[tuple[int, int]]:
 def links(fps: DataFrame) -> DataFrame:
     """Rows (src, dst) that connect different fingerprints within RADIUS; fps: distinct, column fp."""
     rows = _bucketed(fps)
-    sizes = rows.groupBy("key").count().where("count > 1")
+    sizes = cut(rows.groupBy("key").count().where("count > 1"))
     blocks = F.ceil(F.col("count") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(j, mine) * F.lit(1 << 15) + F.greatest(j, mine))
     dealt = (
-        rows.join(sizes.select("key", blocks.alias("blocks")), "key")
+        rows.join(sizes.select("key", blocks.alias("blocks")).hint("merge"), "key")
         .select("key", "fp", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(pairs)).alias("part"))
     )
 
@@ -156,9 +156,9 @@ def components(prints: DataFrame) -> DataFrame:
     least = cut(prints.groupBy("fp").agg(F.min("id").alias("least")))
     nodes = connected_components(links(least.select("fp")))
     held = cut(least.join(nodes.select(F.col("node").alias("fp"), "component"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")))
-    firsts = held.where("component != fp").select("component").distinct()
-    lowest = held.join(firsts, "component", "left_semi").groupBy("component").agg(F.min("least").alias("low"))
-    return held.join(lowest, "component", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
+    # aggregates are cut off, so that the joins have plain exchanges on both sides and hot components can be split
+    lowest = cut(held.groupBy("component").agg(F.min("least").alias("low"), F.count("*").alias("n")).where("n > 1").select("component", "low"))
+    return held.join(lowest.hint("merge"), "component", "left").select("fp", F.coalesce("low", "least").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
