@@ -9,7 +9,7 @@ for that first occurrence itself). Consecutive anchors at one distance from the
 their runs touch or overlap, so the factor is equal text, word by word. A factor of 35 words or more
 is a duplicate span here and in its block. What remains are the windows at factor boundaries, those
 with a repeated anchor that stick out of their factor: they are held against each other, and against
-all windows around first occurrences, by a 128-bit hash.
+all windows around first occurrences, by a 96-bit hash.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.text import mixed, slices, split_words, word_hashes
-from siltline.session import ship, written
+from siltline.session import cut, ship, written
 
 _ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 
@@ -107,7 +107,7 @@ class SubstringDedup:
         return docs.mapInArrow(run, "h long, base long, pos int")
 
     def factors(self, docs: DataFrame, refs: DataFrame) -> DataFrame:
-        """The parse: kind 0 a document with the spans of its factors, 1 a boundary window, 2 a span of a reference block."""
+        """The parse: kind 0 a document with the spans of its factors, 1 a boundary window, 3 a window of a first occurrence, 2 a span of a reference block."""
 
         def packed(batches):
             z = zstandard.ZstdCompressor(level=3)
@@ -158,8 +158,10 @@ class SubstringDedup:
         mine = np.searchsorted(pos, owner[windows])
         factor = np.searchsorted(breaks, mine, side="right")
         inside = (windows >= starts[factor]) & (windows + self.window <= ends[factor])
-        shown = windows[~inside | first[mine]]
-        out.windows(base, shown, rolling.of(shown, self.window), _Rolling(second, _ODD[1]).of(shown, self.window))
+        offered = first[mine]
+        keep = ~inside | offered
+        shown = windows[keep]
+        out.windows(base, shown, rolling.of(shown, self.window), _Rolling(second, _ODD[1]).of(shown, self.window), offered[keep])
         long = ends - starts >= self.window
         for s, e, r, m in zip(starts[long].tolist(), ends[long].tolist(), blocks[long].tolist(), moved[long].tolist(), strict=True):
             out.span(r, s + m - r, e + m - r)
@@ -175,14 +177,21 @@ class SubstringDedup:
             .agg(F.count("*").alias("n"), F.min(place).alias("lo"), F.max(place).alias("hi"), F.min("base").alias("lo_base"), F.max("base").alias("hi_base"))
             .where("n > 1")
         )
+        # cut off here, so that the join below has plain exchanges on both sides and a hot anchor can be split
+        index = cut(index)
         first = place == F.col("lo")
         refs = places.join(index.hint("merge"), "h").select(
             "base", "pos", F.when(first, F.col("hi")).otherwise(F.col("lo")).alias("rplace"), F.when(first, F.col("hi_base")).otherwise(F.col("lo_base")).alias("rbase"), first.alias("first")
         )
         parsed = written(self.factors(docs, refs), "factors")
-        windows = parsed.where("kind = 1").select("h1", "h2", "base", "start", "end")
-        twice = windows.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-        spans = windows.join(twice.hint("merge"), ["h1", "h2"]).select("base", "start", "end").unionByName(parsed.where("kind = 2").select("base", "start", "end"))
+        # asks: windows that stick out of a factor; offers: those around first occurrences, one per hash. A window is repeated
+        # if two ask for it, or one asks and one offers; what is offered in vain, the most, moves once.
+        asks, offers = (parsed.where(F.col("kind") == k).select("h1", "h2", "base", "start") for k in (1, 3))
+        asked = cut(asks.groupBy("h1", "h2").count())
+        met = cut(offers.join(asked.select("h1", "h2").hint("merge"), ["h1", "h2"]))
+        found = asked.where("count > 1").select("h1", "h2").unionByName(met.select("h1", "h2")).distinct()
+        flagged = asks.join(cut(found).hint("merge"), ["h1", "h2"]).unionByName(met).select("base", "start", (F.col("start") + self.window).cast("int").alias("end"))
+        spans = flagged.unionByName(parsed.where("kind = 2").select("base", "start", "end"))
         more = spans.groupBy("base", "start").agg(F.max("end").alias("end")).groupBy("base").agg(F.collect_list(F.struct("start", "end")).alias("more"))
         held = parsed.where("kind = 0 AND spans IS NOT NULL").select("id", "base", "z", "spans").join(more.hint("merge"), "base", "left")
         plain = parsed.where("kind = 0 AND spans IS NULL").select("id", "base", "z", "spans", F.lit(None).cast("array<struct<start:int,end:int>>").alias("more"))
@@ -192,7 +201,7 @@ class SubstringDedup:
 class _Rows:
     """Rows of several kinds in one batch."""
 
-    SCHEMA = "kind int, id long, base long, z binary, spans array<struct<start:int,end:int>>, h1 long, h2 long, start int, end int"
+    SCHEMA = "kind int, id long, base long, z binary, spans array<struct<start:int,end:int>>, h1 long, h2 int, start int, end int"
     SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def __init__(self, window: int):
@@ -207,27 +216,26 @@ class _Rows:
     def span(self, base, start, end):
         self.more.append((base, start, end))
 
-    def windows(self, base, starts, h1, h2):
-        self.shown.append((np.full(len(starts), base), starts, h1, h2))
+    def windows(self, base, starts, h1, h2, offered):
+        self.shown.append((np.full(len(starts), base), starts, h1, h2, offered))
 
     def batch(self) -> pa.RecordBatch:
         n, m = len(self.docs), len(self.more)
-        shown = [np.concatenate(x) for x in zip(*self.shown, strict=True)] if self.shown else [np.zeros(0, np.int64)] * 4
+        shown = [np.concatenate(x) for x in zip(*self.shown, strict=True)] if self.shown else [np.zeros(0, np.int64)] * 5
         w = len(shown[0])
         more = np.array(self.more, np.int64).reshape(-1, 3)
         none = lambda k, t: pa.nulls(k, t)
         join = lambda *x: pa.concat_arrays(x)
-        length = (shown[1] * 0).astype(np.int32)
         columns = [
-            pa.array(np.repeat([0, 1, 2], [n, w, m]).astype(np.int32)),
+            pa.array(np.concatenate([np.zeros(n), np.where(shown[4], 3, 1), np.full(m, 2)]).astype(np.int32)),
             join(pa.array([d[0] for d in self.docs], pa.int64()), none(w + m, pa.int64())),
             join(pa.array([d[1] for d in self.docs], pa.int64()), pa.array(shown[0].astype(np.int64)), pa.array(more[:, 0].copy())),
             join(pa.array([d[2] for d in self.docs], pa.binary()), none(w + m, pa.binary())),
             join(pa.array([d[3] for d in self.docs], self.SPANS), none(w + m, self.SPANS)),
             join(none(n, pa.int64()), pa.array(shown[2].astype(np.uint64).view(np.int64)), none(m, pa.int64())),
-            join(none(n, pa.int64()), pa.array(shown[3].astype(np.uint64).view(np.int64)), none(m, pa.int64())),
+            join(none(n, pa.int32()), pa.array((shown[3].astype(np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)), none(m, pa.int32())),
             join(none(n, pa.int32()), pa.array(shown[1].astype(np.int32)), pa.array(more[:, 1].astype(np.int32))),
-            join(none(n, pa.int32()), pa.array(length + np.int32(self.window) + shown[1].astype(np.int32)), pa.array(more[:, 2].astype(np.int32))),
+            join(none(n + w, pa.int32()), pa.array(more[:, 2].astype(np.int32))),
         ]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in self.SCHEMA.split(", ")])
 
