@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.text import slices, split_words
-from siltline.session import ship, written
+from siltline.session import cut, ship, written
 
-SLICE = 24 << 20
+SLICE = 12 << 20
 #: Stands for the end of a text in count tables; no word holds a space.
 END = " "
 #: A word of the vocabulary has this many bytes at most, which bounds its size; longer ones are joined.
 WORD_BYTES = 64
+#: N-grams that are counted in one pass, at most.
+CANDIDATES = 1 << 19
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -220,15 +222,32 @@ class BackoffScorer:
         words = list(zip(*words, strict=True))
         if not any(w == END for w, _ in words):
             words.append((END, 0))
-        grams = self._counted(texts, found.where("n = 0").select("gram"), tokens)
-        return build(words, grams, tokens, distinct), counts
+        frequent = {w for w, n in words if n >= tokens / self.ngram_share}
+        return build(words, self._ngrams(texts, found.where("n = 0").select("gram"), frequent, tokens), tokens, distinct), counts
 
-    def _counted(self, texts: DataFrame, candidates: DataFrame, tokens: int) -> list[tuple[str, int]]:
-        """Exact counts of the candidates that are frequent in the whole corpus."""
+    def _ngrams(self, texts: DataFrame, candidates: DataFrame, frequent: set[str], tokens: int) -> list[tuple[str, int]]:
+        """The n-grams to keep, counted over all documents.
+
+        The words of a frequent n-gram are frequent, which leaves few candidates; were they more than CANDIDATES, they would
+        be counted in blocks, a pass each.
+        """
+        shared = texts.sparkSession.sparkContext.broadcast(frequent)
+
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array([all(w in shared.value for w in g.split("\t")) for g in b.column("gram").to_pylist()], pa.bool_()))
+
+        left = cut(candidates.mapInArrow(run, "gram string"))
+        blocks = -(-left.count() // CANDIDATES)
+        grams = []
+        for k in range(blocks):
+            part = left if blocks == 1 else left.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
+            grams += self._counted(texts, part.toArrow().column(0).to_pylist(), tokens)
+        return grams
+
+    def _counted(self, texts: DataFrame, wanted: list[str], tokens: int) -> list[tuple[str, int]]:
+        """Exact counts of the wanted n-grams, of those that are frequent in the whole corpus."""
         spark = texts.sparkSession
-        wanted = candidates.toArrow().column(0).to_pylist()
-        if not wanted:
-            return []
         names = pa.array(sorted({w for g in wanted for w in g.split("\t")} | {END}))
         code = {w: i for i, w in enumerate(names.to_pylist())}
         size = len(names) + 1
