@@ -4,12 +4,15 @@ Smoothed n-grams (to order 3) become states; a state's arcs are the n-grams that
 failure arc leads to its longest proper suffix at the cost of a backoff weight. One traversal from left to right
 carries the state and adds up log-probabilities.
 
-Unigrams are exact for every word of the corpus. Words too rare for the broadcast vocabulary take
-part as marks: the traversal pays the failure arcs to the root, and the word's own unigram term comes from a
-join with the count table. Longer n-grams are kept by relative frequency, 1 in `ngram_share` tokens
-at least, so their number is at most that share at any size of the corpus.
-Candidates are the n-grams with that frequency in some slice of the corpus; every kept one has it in
-one slice at least, so none is missed, and a second pass counts the candidates over all documents.
+A token's cost on that path depends on its trigram only, so the score of a text is a sum of weights of its n-grams:
+log p(w) and the backoff of w for each word, and for each bigram and trigram of the model what it adds to the
+shorter ones. BackoffScorer keeps these weights in tables of any size and looks them up by a shuffle;
+Automaton is the definition, for models of one block.
+
+Unigrams are exact for every word of the corpus; words too rare for the broadcast vocabulary are joined with the
+count table. Bigrams and trigrams are kept from an absolute count on (two), so the model grows with the corpus.
+Every text is dealt once, as its windows of three words, by the hash of a window's first two: a partition holds all
+occurrences of a bigram and of the trigrams that continue it. Words are told apart by 64-bit hashes, bigrams and trigrams by 64-bit hashes of those.
 """
 
 from __future__ import annotations
@@ -20,11 +23,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
+from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.text import slices, split_words
+from siltline.llm.text import mixed, slices, split_words, word_hashes
 from siltline.session import cut, ship, written
 
 SLICE = 12 << 20
@@ -32,8 +35,11 @@ SLICE = 12 << 20
 END = " "
 #: A word of the vocabulary has this many bytes at most, which bounds its size; longer ones are joined.
 WORD_BYTES = 64
-#: N-grams that are counted in one pass, at most.
-CANDIDATES = 1 << 19
+#: Text whose windows go to one partition, about.
+PART_BYTES = 16 << 20
+#: Weights that are dealt out at once.
+DEALT = 1 << 19
+DISCOUNT = 0.75
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -50,48 +56,191 @@ def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return at[1:] + np.arange(1, len(at)), ids, coded.dictionary
 
 
-def _grams(ids: np.ndarray, end: int, size: int):
-    """Keys of the bigrams and trigrams of texts, each led by an end; trigrams don't cross an end. size: above all ids."""
-    ids = np.concatenate([[end], ids])
-    two = ids[:-1] * size + ids[1:]
-    three = two[:-1] * size + ids[2:]
-    return two, three[ids[1:-1] != end]
+def _hashed(words: pa.Array) -> np.ndarray:
+    """Hashes of words and of the end, then 0 for no word; no word has 0."""
+    h = word_hashes(pa.concat_arrays([words, pa.array([END], words.type)]))
+    return np.append(np.where(h == 0, np.uint64(1), h), np.uint64(0))
 
 
-def _often(keys: np.ndarray, least: int) -> np.ndarray:
-    found, n = np.unique(keys, return_counts=True)
-    return found[n >= least]
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(a) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def word_counts(texts: DataFrame, ngram_share: int) -> DataFrame:
-    """Rows (gram, n): each word with its count, and n-grams of two or three words that are candidates, with 0."""
+def _bucket(pair: np.ndarray, parts: int) -> np.ndarray:
+    return ((pair >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _same(key: int) -> int:
+    return key
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """Rows (gram, x, n): each word with its hash and count."""
 
     def run(batches):
         for b in slices(batches, "t", SLICE):
             _, ids, words = _coded(b.column("t"))
-            end, size = len(words), len(words) + 1
-            n = np.bincount(ids, minlength=size)
+            n = np.bincount(ids, minlength=len(words) + 1)
             names = pa.concat_arrays([words, pa.array([END])])
-            yield pa.RecordBatch.from_arrays([names, pa.array(n)], ["gram", "n"])
-            least = max(1, math.ceil(len(ids) / ngram_share))
-            frequent = np.flatnonzero(n >= least)
-            small = np.full(size, -1)
-            small[frequent] = np.arange(len(frequent))
-            if small[end] < 0:
-                small[end], frequent = len(frequent), np.append(frequent, end)
-            size = len(frequent) + 1
-            coded = np.where(small[ids] < 0, size - 1, small[ids])
-            two, three = _grams(coded, int(small[end]), size)
-            two = two[(two // size != size - 1) & (two % size != size - 1)]
-            three = three[(three // size // size != size - 1) & (three // size % size != size - 1) & (three % size != size - 1)]
-            two, three = _often(two, least), _often(three, least)
-            spell = lambda k: names.take(pa.array(frequent[k]))
-            grams = [pc.binary_join_element_wise(spell(two // size), spell(two % size), "\t")]
-            grams.append(pc.binary_join_element_wise(spell(three // size // size), spell(three // size % size), spell(three % size), "\t"))
-            for g in grams:
-                yield pa.RecordBatch.from_arrays([g, pa.array(np.zeros(len(g), np.int64))], ["gram", "n"])
-
-    return texts.mapInArrow(run, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([names, pa.array(_hashed(words)[:-1].view(np.int64)), pa.array(n)], ["gram", "x", "n"])
+
+    return texts.mapInArrow(run, "gram string, x long, n long").groupBy("gram", "x").agg(F.sum("n").alias("n"))
+
+
+def _packed(at: int, x: np.ndarray, columns: list[np.ndarray]) -> bytes:
+    """A block of windows: the place of its slice, hashes of words, and (first, second, third, text and learnt) by byte planes."""
+    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
+    planes = np.stack(columns).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    raw = np.array([at, len(x), len(columns[0])], np.int64).tobytes() + x.tobytes() + planes.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: bytes):
+    """(place, hashes of first, second and third words, text in the slice, whether it is learnt from)."""
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
+    at, words, n = np.frombuffer(raw, np.int64, 3).tolist()
+    x = np.frombuffer(raw, np.uint64, words, 24)
+    planes = np.frombuffer(raw, np.uint8, 16 * n, 24 + 8 * words).reshape(4, -1).T
+    u, v, w, doc = np.ascontiguousarray(planes).view("<u4").reshape(4, n)
+    return at, x[np.cumsum(u, dtype=np.int64)], x[v], x[w], (doc >> 1).astype(np.int64), (doc & 1).astype(bool)
+
+
+def windows(docs: DataFrame, parts: int) -> RDD:
+    """(bucket, block) pairs: the windows of three words of all texts, each led by an end; after the last end there is no third."""
+
+    def run(batches):
+        at = TaskContext.get().partitionId() << 36
+        for b in slices(batches, "t", SLICE):
+            ends, ids, words = _coded(b.column("t"))
+            x, end = _hashed(words), len(words)
+            u, w = np.insert(ids[:-1], 0, end), np.append(ids[1:], end)
+            w[ids == end] = end + 1
+            learnt = pc.fill_null(b.column("learnt"), False).to_numpy(zero_copy_only=False).astype(np.int64)
+            doc = np.repeat(np.arange(len(ends)) * 2 + learnt, np.diff(ends, prepend=0))
+            bucket = _bucket(_pair(x[u], x[ids]), parts)
+            order = np.argsort((bucket * len(x) + u) * len(x) + ids, kind="stable")
+            columns, edges = [c[order] for c in (u, ids, w, doc)], np.cumsum(np.bincount(bucket, minlength=parts))
+            code = np.zeros(len(x), np.int64)
+            found = []
+            for k in np.flatnonzero(np.diff(edges, prepend=0)).tolist():
+                lo, hi = (int(edges[k - 1]) if k else 0), int(edges[k])
+                mine = [c[lo:hi] for c in columns]
+                used = np.zeros(len(x), bool)
+                for c in mine[:3]:
+                    used[c] = True
+                used = np.flatnonzero(used)
+                code[used] = np.arange(len(used))
+                found.append((k, _packed(at, x[used], [*(code[c] for c in mine[:3]), mine[3]])))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["b", "blob"])
+            at += len(ends)
+
+    dealt = docs.select("learnt", "t").mapInArrow(run, "b int, blob binary").rdd
+    return dealt.map(lambda r: (r[0], (True, bytes(r[1])))).partitionBy(parts, _same)
+
+
+def _grams_of(blocks, least: int):
+    """Tables of the n-grams of one partition that training texts hold `least` times, see NGRAMS."""
+    found = [[c[learnt] for c in (u, v, w)] for _, u, v, w, _, learnt in (_unpacked(blob) for _, (_, blob) in blocks)]
+    if not found:
+        return
+    u, v, w = (np.concatenate(c) for c in zip(*found, strict=True))
+    del found
+    two, first, which, n = np.unique(_pair(u, v), return_index=True, return_inverse=True, return_counts=True)
+    keep = n >= least
+    at = np.flatnonzero(keep[which] & (w != 0))
+    three, rep, n3 = np.unique(_pair(two[which[at]], w[at]), return_index=True, return_counts=True)
+    often = n3 >= least
+    three, rep, n3 = three[often], at[rep[often]], n3[often]
+    context = which[rep]
+    p3 = (n3 - DISCOUNT) / n[context]
+    spent, has = np.bincount(context, p3, len(two)), np.bincount(context, minlength=len(two)) > 0
+    signed = lambda x: pa.array(x.view(np.int64))
+    keep = np.flatnonzero(keep)
+    yield [pa.array(np.full(len(keep), 2)), signed(two[keep]), signed(two[keep]), signed(u[first[keep]]), signed(v[first[keep]]), pa.array(n[keep]), pa.array(1 - spent[keep], mask=~has[keep])]
+    yield [pa.array(np.full(len(rep), 3)), signed(two[context]), signed(three), signed(_pair(v[rep], w[rep])), signed(w[rep]), pa.array(n3), pa.array(p3)]
+
+
+#: o: words of the n-gram; r: hash of its first two; h: its hash; bigrams: a, b hashes of the words, x what is left for backoff (null: no trigram continues it);
+#: trigrams: a hash of the last two, x the probability.
+NGRAMS = "o long, r long, h long, a long, b long, n long, x double"
+
+
+def _frame(spark, tables: RDD, schema: str) -> DataFrame:
+    """Lists of Arrow columns as a DataFrame."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def ipc(columns: list[pa.Array]):
+        batch = pa.RecordBatch.from_arrays(columns, names)
+        for lo in range(0, batch.num_rows, 1 << 16):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as out:
+                out.write_batch(batch.slice(lo, 1 << 16))
+            yield (sink.getvalue().to_pybytes(),)
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0).to_pylist():
+                yield from pa.ipc.open_stream(blob)
+
+    return spark.createDataFrame(tables.flatMap(ipc), "blob binary", verifySchema=False).mapInArrow(run, schema)
+
+
+def _dealt_weights(weights: DataFrame, parts: int) -> RDD:
+    """(bucket, block) pairs of rows (o, r, h, weight), dealt like the windows."""
+
+    def blocks(held):
+        o, r, h, x = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("o", "r", "h", "weight"))
+        bucket = _bucket(r.view(np.uint64), parts)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.cumsum(np.bincount(bucket, minlength=parts))
+        for k in np.flatnonzero(np.diff(edges, prepend=0)).tolist():
+            i = order[(edges[k - 1] if k else 0) : edges[k]]
+            yield k, np.stack([o[i], h[i], x[i].view(np.int64)]).tobytes()
+
+    def run(batches):
+        held, n = [], 0
+        for b in batches:
+            held, n = [*held, b], n + b.num_rows
+            if n >= DEALT:
+                found = list(blocks(held))
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["b", "blob"])
+                held, n = [], 0
+        if n:
+            found = list(blocks(held))
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["b", "blob"])
+
+    return weights.mapInArrow(run, "b int, blob binary").rdd.map(lambda r: (r[0], (False, bytes(r[1])))).partitionBy(parts, _same)
+
+
+def _sums(blocks):
+    """Per block of windows: the keys of its texts and the weights of their bigrams and trigrams, added up. Weights come before windows."""
+    held, tables = [], None
+    for _, (is_windows, blob) in blocks:
+        if not is_windows:
+            if tables is not None:
+                raise RuntimeError("weights after windows")
+            held.append(np.frombuffer(blob, np.int64).reshape(3, -1))
+            continue
+        if tables is None:
+            o, h, x = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
+            tables = []
+            for k in (2, 3):
+                at = np.flatnonzero(o == k)
+                at = at[np.argsort(h[at].view(np.uint64))]
+                tables.append((h[at].view(np.uint64), x[at].view(np.float64)))
+            held = None
+        at, u, v, w, doc, _ = _unpacked(blob)
+        two = _pair(u, v)
+        total, some = np.zeros(int(doc.max()) + 1), np.zeros(int(doc.max()) + 1, bool)
+        for (keys, weight), h, real in zip(tables, (two, _pair(two, w)), (np.ones(len(w), bool), w != 0), strict=True):
+            if len(keys):
+                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                hit = (keys[i] == h) & real
+                total += np.bincount(doc[hit], weight[i[hit]], len(total))
+                some[doc[hit]] = True
+        some = np.flatnonzero(some)
+        yield [pa.array(at + some), pa.array(total[some])]
 
 
 @dataclass
@@ -160,7 +309,7 @@ class Automaton:
         return out
 
 
-def build(words: list[tuple[str, int]], grams: list[tuple[str, int]], tokens: int, distinct: int, discount: float = 0.75) -> Automaton:
+def build(words: list[tuple[str, int]], grams: list[tuple[str, int]], tokens: int, distinct: int, discount: float = DISCOUNT) -> Automaton:
     """The automaton: absolute discounting; each backoff weight spreads what a context has left over its other continuations."""
     names = pa.array([w for w, _ in words], pa.string())
     counts = np.array([n for _, n in words], np.int64)
@@ -204,103 +353,60 @@ class BackoffScorer:
     """Learns from the rows where `learn` holds and scores every row.
 
     vocabulary: words of 1 in so many tokens at least are broadcast (so at most that many, WORD_BYTES each); the
-    others are joined. ngram_share: as for the module. Null and blank texts hold one token, the end. Null ids are
-    learnt from. Repeated rows count as often as they occur. Without rows to learn from every token costs
-    log10(1). Only the named columns are read.
+    others are joined. least: how often an n-gram of two or three words must occur to be in the model. Null and blank
+    texts hold one token, the end. Null ids are learnt from. Repeated rows count as often as they occur. Without rows
+    to learn from every token costs log10(1). Only the named columns are read; they are read more than once and must
+    come in the same order each time, as from a scan or a checkpoint.
     """
 
-    def __init__(self, vocabulary: int = 1 << 20, ngram_share: int = 1 << 15):
-        self.vocabulary, self.ngram_share = vocabulary, ngram_share
-
-    def fit(self, texts: DataFrame) -> tuple[Automaton, DataFrame]:
-        """(the automaton, the count table of all words); texts: column t."""
-        found = written(word_counts(texts, self.ngram_share), "grams")
-        counts = found.where("n > 0")
-        tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        often = (F.col("n") >= F.lit(tokens / self.vocabulary)) & (F.octet_length("gram") <= WORD_BYTES)
-        words = [tuple(r) for r in counts.where(often | (F.col("gram") == END)).orderBy("gram").toArrow().to_pydict().values()]
-        words = list(zip(*words, strict=True))
-        if not any(w == END for w, _ in words):
-            words.append((END, 0))
-        frequent = {w for w, n in words if n >= tokens / self.ngram_share}
-        return build(words, self._ngrams(texts, found.where("n = 0").select("gram"), frequent, tokens), tokens, distinct), counts
-
-    def _ngrams(self, texts: DataFrame, candidates: DataFrame, frequent: set[str], tokens: int) -> list[tuple[str, int]]:
-        """The n-grams to keep, counted over all documents.
-
-        The words of a frequent n-gram are frequent, which leaves few candidates; were they more than CANDIDATES, they would
-        be counted in blocks, a pass each.
-        """
-        shared = texts.sparkSession.sparkContext.broadcast(frequent)
-
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array([all(w in shared.value for w in g.split("\t")) for g in b.column("gram").to_pylist()], pa.bool_()))
-
-        left = cut(candidates.mapInArrow(run, "gram string"))
-        blocks = -(-left.count() // CANDIDATES)
-        grams = []
-        for k in range(blocks):
-            part = left if blocks == 1 else left.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == k)
-            grams += self._counted(texts, part.toArrow().column(0).to_pylist(), tokens)
-        return grams
-
-    def _counted(self, texts: DataFrame, wanted: list[str], tokens: int) -> list[tuple[str, int]]:
-        """Exact counts of the wanted n-grams, of those that are frequent in the whole corpus."""
-        spark = texts.sparkSession
-        names = pa.array(sorted({w for g in wanted for w in g.split("\t")} | {END}))
-        code = {w: i for i, w in enumerate(names.to_pylist())}
-        size = len(names) + 1
-        keys = [[], []]
-        for g in wanted:
-            k = 0
-            for w in (parts := g.split("\t")):
-                k = k * size + code[w]
-            keys[len(parts) - 2].append(k)
-        keys = [np.array(sorted(k), np.int64) for k in keys]
-        shared = spark.sparkContext.broadcast((names, keys))
-
-        def run(batches):
-            names, keys = shared.value
-            end, size = pc.index_in(pa.scalar(END), value_set=names).as_py(), len(names) + 1
-            totals = [np.zeros(len(k), np.int64) for k in keys]
-            for b in slices(batches, "t", SLICE):
-                _, ids, words = _coded(b.column("t"))
-                to = np.append(pc.fill_null(pc.index_in(words, value_set=names), size - 1).to_numpy(zero_copy_only=False).astype(np.int64), end)
-                for k, total, found in zip(keys, totals, _grams(to[ids], end, size), strict=True):
-                    if len(k):
-                        at = np.minimum(np.searchsorted(k, found), len(k) - 1)
-                        total += np.bincount(at[k[at] == found], minlength=len(k))
-            for order, total in enumerate(totals):
-                some = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), order, np.int32)), pa.array(some), pa.array(total[some])], ["o", "i", "n"])
-
-        least = tokens / self.ngram_share
-        rows = texts.mapInArrow(run, "o int, i long, n long").groupBy("o", "i").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("n") > 1)).collect()
-        names = names.to_pylist()
-        return [(self._spelt(int(keys[r["o"]][r["i"]]), r["o"] + 2, size, names), r["n"]) for r in rows]
-
-    @staticmethod
-    def _spelt(key: int, order: int, size: int, names: list[str]) -> str:
-        parts = []
-        for _ in range(order):
-            key, w = divmod(key, size)
-            parts.append(names[w])
-        return "\t".join(reversed(parts))
+    def __init__(self, vocabulary: int = 1 << 20, least: int = 2):
+        self.vocabulary, self.least = vocabulary, least
+
+    def weights(self, dealt: RDD, counts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+        """(rows (a, bow): the backoff of each word that has one, rows (o, r, h, weight) of bigrams and trigrams); total: tokens + distinct + 1."""
+        spark, least = counts.sparkSession, self.least
+        grams = written(_frame(spark, dealt.mapPartitions(lambda x: _grams_of(x, least)), NGRAMS), "ngrams")
+        one, two = counts.select(F.col("x").alias("a"), F.col("n").alias("of")), counts.select(F.col("x").alias("b"), ((F.col("n") + 1) / F.lit(float(total))).alias("one"))
+        share = (F.col("n") - DISCOUNT) / F.greatest("of", "n")
+        bigrams = written(grams.where("o = 2").join(one, "a").join(two, "b").select("h", "a", "one", share.alias("p"), F.col("x").alias("left")), "bigrams")
+        backoff = lambda left, lower: F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(lower, F.lit(1e-9)))
+        bows = cut(bigrams.groupBy("a").agg(backoff(1 - F.sum("p"), 1 - F.sum("one")).alias("bow")))
+        trigrams = written(grams.where("o = 3").select("r", F.col("h").alias("h3"), F.col("x").alias("p3"), F.col("a").alias("h")).join(bigrams.select("h", "p"), "h").select("r", "h3", "p3", "p"), "trigrams")
+        lower = cut(trigrams.groupBy("r").agg((1 - F.sum("p")).alias("lower")))
+        falls = cut(lower.join(bigrams.select(F.col("h").alias("r"), "left"), "r").select("r", backoff(F.col("left"), F.col("lower")).alias("fall")))
+        w2 = bigrams.join(bows, "a").join(falls.withColumnRenamed("r", "h"), "h", "left")
+        w2 = w2.select(F.lit(2).cast("long").alias("o"), F.col("h").alias("r"), "h", (F.log10("p") - F.log10("one") - F.col("bow") + F.coalesce("fall", F.lit(0.0))).alias("weight"))
+        w3 = trigrams.join(falls, "r").select(F.lit(3).cast("long").alias("o"), "r", F.col("h3").alias("h"), (F.log10("p3") - F.col("fall") - F.log10("p")).alias("weight"))
+        return bows, w2.unionByName(w3)
 
     def score(self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (id, learnt, n_tokens, n_known, train_tokens, base_score, score), one per row of docs.
 
-        base_score: the add-one unigram log10 probability; score: the automaton's.
+        base_score: the add-one unigram log10 probability; score: the backoff model's.
         """
         spark = docs.sparkSession
         ship(spark)
         docs = docs.select(F.col(id_col).alias("id"), learn.alias("learnt"), F.col(text_col).alias("t"))
-        model, counts = self.fit(docs.where("learnt").select("t"))
-        shared = spark.sparkContext.broadcast(model)
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+        parts = max(spark.sparkContext.defaultParallelism, math.ceil(size / PART_BYTES))
+        counts = written(word_counts(docs.where("learnt").select("t")), "words")
+        tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+        dealt = windows(docs, parts)
+        bows, weights = self.weights(dealt, counts, tokens + distinct + 1)
+        both = _dealt_weights(weights, parts).union(dealt)
+        if both.getNumPartitions() != dealt.getNumPartitions():
+            raise RuntimeError("weights and windows are dealt apart")
+        sums = _frame(spark, both.mapPartitions(_sums), "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
+        counts = written(counts.join(bows.withColumnRenamed("a", "x"), "x", "left").select("gram", "n", F.coalesce("bow", F.lit(0.0)).alias("bow")), "counts")
+        often = (F.col("n") >= F.lit(tokens / self.vocabulary)) & (F.octet_length("gram") <= WORD_BYTES)
+        words = counts.where(often | (F.col("gram") == END)).orderBy("gram").toArrow()
+        names, n, bow = words.column("gram").to_pylist(), words.column("n").to_numpy(), words.column("bow").to_numpy()
+        if END not in names:
+            names, n, bow = [*names, END], np.append(n, 0), np.append(bow, 0.0)
+        shared = spark.sparkContext.broadcast((build(list(zip(names, n.tolist(), strict=True)), [], tokens, distinct), bow))
 
         def run(batches):
-            model: Automaton = shared.value
+            model, bow = shared.value
             end = int(model.codes(pa.array([END]))[0])
             known, unigram = model.counts > 0, model.unigram(model.counts)
             at = TaskContext.get().partitionId() << 36
@@ -325,30 +431,30 @@ class BackoffScorer:
                         pa.array(np.diff(ends, prepend=0)),
                         pa.array(add((~rare & known[codes]).astype(np.int64)).astype(np.int64)),
                         pa.array(add(np.where(rare, 0.0, unigram[codes])).astype(float)),
-                        pa.array(model.traverse(codes, ends)),
+                        pa.array(add(np.where(rare, 0.0, bow[codes])).astype(float)),
                         pa.ListArray.from_arrays(offsets, marks),
                     ],
-                    ["key", "id", "learnt", "n", "known", "base", "score", "rare"],
+                    ["key", "id", "learnt", "n", "known", "base", "bow", "rare"],
                 )
                 at += len(ends)
 
         kind = docs.schema["id"].dataType.simpleString()
-        passed = written(docs.mapInArrow(run, f"key long, id {kind}, learnt boolean, n long, known long, base double, score double, rare array<struct<w:string,k:int>>"), "passed")
+        passed = written(docs.mapInArrow(run, f"key long, id {kind}, learnt boolean, n long, known long, base double, bow double, rare array<struct<w:string,k:int>>"), "passed")
         marks = passed.select("key", F.explode("rare").alias("r")).select("key", F.col("r.w").alias("gram"), F.col("r.k").alias("k"))
-        term = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(model.tokens + model.distinct + 1)))
+        term = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tokens + distinct + 1)))
         rare = (
             marks.join(counts.hint("merge"), "gram", "left")
             .groupBy("key")
-            .agg(F.sum(term).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("k"))
+            .agg(F.sum(term).alias("more"), F.sum(F.col("k") * F.col("bow")).alias("fall"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("k"))
         )
-        out = passed.drop("rare").join(rare.hint("merge"), "key", "left")
-        more = F.coalesce("more", F.lit(0.0))
+        out = passed.drop("rare").join(rare.hint("merge"), "key", "left").join(sums.hint("merge"), "key", "left")
+        base = F.col("base") + F.coalesce("more", F.lit(0.0))
         return out.select(
             "id",
             "learnt",
             F.col("n").alias("n_tokens"),
             (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-            F.lit(model.tokens).cast("long").alias("train_tokens"),
-            (F.col("base") + more).alias("base_score"),
-            (F.col("score") + more).alias("score"),
+            F.lit(tokens).cast("long").alias("train_tokens"),
+            base.alias("base_score"),
+            (base + F.col("bow") + F.coalesce("fall", F.lit(0.0)) + F.coalesce("s", F.lit(0.0))).alias("score"),
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltline.session import table
+from siltline.session import cut, table
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -55,7 +55,10 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from siltline.llm.lm import BackoffScorer, held_out
 
-    scored = BackoffScorer().score(spread(table(spark, sf_dir, "documents")), ~held_out("doc_id", 7, 2))
+    found = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(found)
+    # read more than once: rows that were dealt out anew must keep their order
+    scored = BackoffScorer().score(docs if docs is found else cut(docs), ~held_out("doc_id", 7, 2))
     return scored.select(F.col("id").alias("doc_id"), (~F.col("learnt")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 

@@ -283,6 +283,28 @@ def test_lm_automaton_is_a_distribution_and_equals_its_definition():
         assert abs(model.traverse(ids, np.array([len(ids)]))[0] - expected) < 1e-9
 
 
+def test_lm_score_is_that_of_the_automaton_with_every_ngram_that_occurs_twice(docs):
+    rows = [(r["doc_id"], r["text"], r["ok"]) for r in docs.select("doc_id", "text", (~lm.held_out("doc_id", 7, 2)).alias("ok")).collect()]
+    tokens = {k: [*words(lowered(t)), " "] for k, (_, t, _) in enumerate(rows)}
+    one, longer = collections.Counter(), collections.Counter()
+    for k, (_, _, ok) in enumerate(rows):
+        if ok:
+            one.update(tokens[k])
+            led = [" ", *tokens[k]]
+            longer.update("\t".join(led[i : i + n]) for n in (2, 3) for i in range(len(led) - n + 1))
+    model = lm.build(sorted({" ": 0, **one}.items()), [(g, n) for g, n in longer.items() if n >= 2], sum(one.values()), len(one))
+    expected = []
+    for k, (i, _, _) in enumerate(rows):
+        codes = model.codes(pa.array(tokens[k]))
+        unseen = (codes < 0).sum() * float(model.unigram(np.zeros(1))[0])
+        expected.append((str(i), len(tokens[k]), model.traverse(codes, np.array([len(codes)]))[0] + unseen))
+    for vocabulary in (1 << 20, 40):
+        found = sorted((str(r["id"]), r["n_tokens"], r["score"]) for r in lm.BackoffScorer(vocabulary).score(docs, ~lm.held_out("doc_id", 7, 2)).collect())
+        assert len(found) == len(expected)
+        for f, e in zip(found, sorted(expected), strict=True):
+            assert f[:2] == e[:2] and abs(f[2] - e[2]) < 1e-6 * max(1, abs(e[2]))
+
+
 # toxicity and quality
 
 
