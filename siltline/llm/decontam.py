@@ -20,12 +20,13 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.substring import _ODD, _Rolling
 from siltline.llm.text import mixed, slices, split_words, word_hashes
-from siltline.session import ship
+from siltline.session import ship, written
 
 SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 62, 16
 LANES = 4
@@ -109,7 +110,7 @@ class Items:
 
     def matches(self, hashes: np.ndarray, hits: dict[int, np.ndarray]) -> list[dict]:
         """The best window per item in a document of those word hashes; hits: by width, hashes of all its shingles."""
-        found: dict[int, dict] = {}
+        found: dict[tuple[int, int], dict] = {}
         for n, (ids, counts, index, own) in self.sizes.items():
             width = min(SHINGLE, n)
             shingles = hits.get(width)
@@ -125,10 +126,10 @@ class Items:
                 for i, bits in index.lookup(simhash(window)):
                     counted = counted or Counter(window.tolist())
                     alike = similarity(counted, counts[i])
-                    best = found.get(ids[i])
+                    best = found.get((n, i))
                     if alike >= SIMILARITY and (best is None or alike > best["similarity"]):
-                        found[ids[i]] = {"item_id": ids[i], "start": start, "words": size + width - 1, "similarity": alike, "bits": bits}
-        return [found[k] for k in sorted(found)]
+                        found[n, i] = {"item_id": ids[i], "start": start, "words": size + width - 1, "similarity": alike, "bits": bits}
+        return sorted(found.values(), key=lambda m: tuple(m.values()))
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
         """Matches of each text."""
@@ -159,52 +160,78 @@ def shingled(hashes: np.ndarray) -> np.ndarray:
     return _Rolling(hashes, _ODD[0]).of(np.arange(len(hashes) - width + 1), width)
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES):
-    """Items in blocks of bounded size, one at a time: a benchmark of any size is a stated query set against all rows, in blocks."""
+def named_by_words(rows: DataFrame) -> DataFrame:
+    """rows (id, t) with a hash k of the words that items are compared by."""
+
+    def run(batches):
+        for b in batches:
+            at, words = plain_words(b.column("t"))
+            hashes = word_hashes(words)
+            keys = [xxhash.xxh3_64_intdigest(hashes[lo:hi].tobytes()) >> 1 for lo, hi in pairwise(at.tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), pa.array(keys, pa.int64())], ["id", "t", "k"])
+
+    return rows.mapInArrow(run, "id long, t string, k long")
+
+
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
+    """Rows (id, t) of items in blocks of bounded size: a benchmark of any size is a stated query set against all rows, in blocks."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where("t IS NOT NULL")
     total = rows.agg(F.coalesce(F.sum(F.octet_length("t") + 16), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(2 * total / block_bytes)) if total > block_bytes else 1
-    for k in range(blocks):
-        # equal texts meet in one block
-        part = rows if blocks == 1 else rows.where(F.pmod(F.xxhash64("t"), F.lit(blocks)) == k)
-        found = part.toArrow()
-        yield Items(found.column("id").to_pylist(), found.column("t").combine_chunks())
+    if total <= block_bytes:
+        return [rows]
+    ship(benchmark.sparkSession)
+    blocks = math.ceil(2 * total / block_bytes)
+    # items of equal words meet in one block
+    named = written(named_by_words(rows), "items")
+    return [named.where(F.pmod("k", F.lit(blocks)) == k).select("id", "t") for k in range(blocks)]
+
+
+def read_items(block: DataFrame) -> Items:
+    found = block.toArrow()
+    return Items(found.column("id").to_pylist(), found.column("t").combine_chunks())
 
 
 MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("words", pa.int64()), ("similarity", pa.float64()), ("bits", pa.int64())]))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, matches): the documents with a window at SIMILARITY or more to an item, with the best window per item.
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Rows (id, matches): the documents with a window at SIMILARITY or more to an item, with the best window per item, in order of item_id.
 
     Null and blank texts match nothing; a document shorter than an item is one window; items and
     documents of fewer than five words are one shingle. Repeated rows are found each. Only the named columns are read.
+    block_bytes bounds the items of one pass and decides nothing about the rows.
     """
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     kind = docs.schema["id"].dataType.simpleString()
+    blocks = item_blocks(benchmark, block_bytes=block_bytes)
+    # matches of several blocks meet by a key of their row; one block needs none
+    docs = docs.select(F.lit(0).cast("long").alias("row"), "*") if len(blocks) == 1 else written(docs.select(F.monotonically_increasing_id().alias("row"), "*"), "rows")
     found = None
-    for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(read_items(block))
 
         def run(batches, shared=shared):
             for b in slices(batches, "t"):
                 matches = shared.value.search(b.column("t"))
                 some = [i for i, m in enumerate(matches) if m]
-                yield pa.RecordBatch.from_arrays([b.column("id").take(pa.array(some, pa.int64())), pa.array([matches[i] for i in some], MATCHES)], ["id", "matches"])
+                at = pa.array(some, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column("row").take(at), b.column("id").take(at), pa.array([matches[i] for i in some], MATCHES)], ["row", "id", "matches"])
 
-        one = docs.mapInArrow(run, f"id {kind}, matches array<struct<item_id:long,start:long,words:long,similarity:double,bits:long>>")
+        one = docs.mapInArrow(run, f"row long, id {kind}, matches array<struct<item_id:long,start:long,words:long,similarity:double,bits:long>>")
         found = one if found is None else found.unionByName(one)
-    return found
+    if len(blocks) > 1:
+        found = found.groupBy("row").agg(F.first("id").alias("id"), F.array_sort(F.flatten(F.collect_list("matches"))).alias("matches"))
+    return found.select("id", "matches")
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the rows that match an item; all columns stay. Rows are judged where they are: nothing is joined."""
     spark = docs.sparkSession
     ship(spark)
-    for items in item_blocks(benchmark):
-        shared = spark.sparkContext.broadcast(items)
+    for block in item_blocks(benchmark):
+        shared = spark.sparkContext.broadcast(read_items(block))
 
         def run(batches, shared=shared):
             for b in slices(batches, text_col):

@@ -165,6 +165,21 @@ def test_decontamination_finds_every_window(spark, sf_dir, odd_docs):
     assert decontam.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_is_alike_in_any_blocks(spark):
+    rng = random.Random(4)
+    items = [(k, " ".join(rng.choices([f"w{i}" for i in range(300)], k=rng.randrange(8, 30)))) for k in range(12)]
+    items += [(100 + k, t.upper().replace(" ", ",  ") + "!") for k, t in items]
+    docs = [(k, " ".join(["lead", *(items[i][1] for i in rng.sample(range(12), 4)), "tail"])) for k in range(8)]
+    docs += [docs[0], (None, items[3][1] + " " + items[5][1]), (50, "nothing alike")]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(((r["id"], [tuple(m) for m in r["matches"]]) for r in df.collect()), key=str)
+    whole = rows(decontam.contaminated(docs, benchmark))
+    assert len(whole) == 10 and all(len(m) >= 2 and max(x[0] for x in m) < 12 for _, m in whole)
+    assert len(decontam.item_blocks(benchmark, block_bytes=400)) > 3
+    assert rows(decontam.contaminated(docs, benchmark, block_bytes=400)) == whole
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, (200, decontam.LANES), dtype=np.uint64)
