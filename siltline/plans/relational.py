@@ -131,7 +131,7 @@ def majority_vote_placement(spark, sf_dir):
 @query()
 def cluster_components(spark, sf_dir):
     """Roots (orders) that share a key (a part bought at the same line) belong together. Hot keys are stars towards their least member, not pairs."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").select(F.col("l_orderkey").alias("root"), F.concat_ws(":", "l_partkey", "l_linenumber").alias("key"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("root"), F.concat_ws(":", "l_partkey", "l_linenumber").alias("key"))
     least = rows.groupBy("key").agg(F.min("root").alias("least"))
     found = connected_components(rows.join(least, "key").select("root", "least"), "root", "least")
     return found.groupBy("component").agg(F.count("*").alias("roots"), F.max("node").alias("last"))

@@ -139,3 +139,27 @@ def test_scalars(spark):
     paths = spark.createDataFrame([("/a",), ("/a/x",), ("/ab",), ("/b/k.txt",)], "p string")
     assert rows(paths.where(S.glob(F.col("p"), "/a")), "p") == [("/a",), ("/a/x",)]
     assert rows(paths.where(S.glob(F.col("p"), "*.txt")), "p") == [("/b/k.txt",)]
+
+
+def test_cluster_components_join_all_line_items(spark, tmp_path):
+    from siltline.plans.relational import cluster_components
+
+    rng = random.Random(6)
+    lines = [(o, rng.randrange(40), rng.randrange(3), float(rng.randrange(1, 51))) for o in range(60) for _ in range(rng.randrange(1, 3))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    parent = {o: o for o, *_ in lines}
+
+    def top(o):
+        while parent[o] != o:
+            o = parent[o]
+        return o
+
+    first = {}
+    for o, part, line, _ in lines:
+        a, b = top(o), top(first.setdefault((part, line), o))
+        parent[max(a, b)] = min(a, b)
+    members = {}
+    for o in parent:
+        members.setdefault(top(o), []).append(o)
+    expected = sorted((c, len(m), max(m)) for c, m in members.items())
+    assert len(expected) > 2 and rows(cluster_components(spark, str(tmp_path)), "component", "roots", "last") == expected
