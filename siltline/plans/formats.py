@@ -48,9 +48,16 @@ def pointer_decode(spark, sf_dir):
     return p.groupBy("vdev").agg(F.count("*").alias("pointers"), F.sum("offset").alias("offsets"), F.max("birth").alias("newest"))
 
 
+#: Files of one synthesised device, about; a brand with more has several devices.
+DEVICE_FILES = 4096
+
+
 @query()
 def udtf_plugin_entries(spark, sf_dir):
-    """Flat file systems synthesised from parts, one per brand, read through the plugin registry in a table function."""
+    """Flat file systems synthesised from all parts, read through the plugin registry in a table function.
+
+    One device per brand; a brand of more than DEVICE_FILES parts has devices brand/0, brand/1, ..., dealt by the part's key.
+    """
     from pyspark.sql.functions import udtf
 
     from siltline.sources.plugins import FLAT, FLAT_MAGIC, Registry, reader
@@ -69,9 +76,13 @@ def udtf_plugin_entries(spark, sf_dir):
                 yield e.path, e.type, e.size, e.deleted
 
     spark.udtf.register("flat_entries", Entries)
-    parts = table(spark, sf_dir, "part").where("p_partkey % 20 = 0").groupBy("p_brand").agg(F.sort_array(F.collect_list(F.struct("p_name", F.col("p_size").cast("long").alias("n")))).alias("x"))
-    parts.select("p_brand", F.col("x.p_name").alias("names"), F.col("x.n").alias("sizes")).createOrReplaceTempView("flat_devices")
-    return spark.sql("SELECT p_brand AS device, e.* FROM flat_devices, LATERAL flat_entries(names, sizes) e")
+    parts = table(spark, sf_dir, "part")
+    devices = parts.groupBy("p_brand").agg(F.ceil(F.count("*") / DEVICE_FILES).alias("devices")).withColumnRenamed("p_brand", "brand")
+    slot = F.when(F.col("devices") > 1, F.concat(F.lit("/"), F.pmod(F.xxhash64("p_partkey"), F.col("devices")).cast("string"))).otherwise("")
+    parts = parts.join(devices, F.col("p_brand").eqNullSafe(F.col("brand"))).withColumn("device", F.concat("p_brand", slot))
+    parts = parts.groupBy("device").agg(F.sort_array(F.collect_list(F.struct("p_name", F.col("p_size").cast("long").alias("n")))).alias("x"))
+    parts.select("device", F.col("x.p_name").alias("names"), F.col("x.n").alias("sizes")).createOrReplaceTempView("flat_devices")
+    return spark.sql("SELECT device, e.* FROM flat_devices, LATERAL flat_entries(names, sizes) e")
 
 
 @query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")

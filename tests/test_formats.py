@@ -283,3 +283,18 @@ def test_signatures_and_plugins():
     registry.add(FLAT)
     entries = registry.entries(reader(flat), len(flat))
     assert [(e.path, e.deleted) for e in entries] == [("/", False), ("/a", False), ("/b", True)]
+
+
+@pytest.mark.parametrize("most", [4096, 8])
+def test_plugin_entries_hold_every_part(spark, tmp_path, monkeypatch, most):
+    from siltline.plans import formats
+
+    parts = [(k, f"part {k % 37}", f"Brand#{k % 3}", k % 50) for k in range(1, 64)]
+    spark.createDataFrame(parts, "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(formats, "DEVICE_FILES", most)
+    found = [tuple(r) for r in formats.udtf_plugin_entries(spark, str(tmp_path)).collect()]
+    files = sorted((d.split("/")[0], path, n, gone) for d, path, kind, n, gone in found if kind == "file")
+    assert files == sorted((b, f"/{name}", n, n > 25) for _, name, b, n in parts)
+    devices = {r[0] for r in found}
+    assert sorted(r[:3] for r in found if r[2] == "dir") == sorted((d, "/", "dir") for d in devices)
+    assert len(devices) == 3 if most == 4096 else len(devices) > 3
