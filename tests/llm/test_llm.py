@@ -17,7 +17,7 @@ import tokenizers
 import xxhash
 from pyspark.sql import functions as F
 
-from siltline.llm import bpe, decontam, lm, pii, quality, rules, simhash, substring, toxicity, warc
+from siltline.llm import bpe, decontam, labelled, lm, pii, quality, rules, simhash, substring, toxicity, warc
 from siltline.session import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -350,6 +350,17 @@ def test_toxicity_rows(docs, spark, sf_dir):
     assert toxicity.without_toxic(docs, model).columns == docs.columns
 
 
+def test_labelled_sample_passes_over_texts_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    first = labels.orderBy(F.xxhash64("doc_id")).first()["doc_id"]
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == first, F.repeat(F.lit("x"), 2000)).otherwise(F.col("text")))
+    texts, grades = labelled.sample(docs, labels, "toxic", F.lit(True), max_bytes=1000)
+    assert sorted(texts.to_pylist()) == sorted(f"text {k}" for k in range(40) if k != first) and set(grades.tolist()) == {0, 1}
+    with pytest.raises(ValueError, match="grades"):
+        labelled.sample(docs, spark.range(65).selectExpr("id AS doc_id", "CAST(id AS int) AS toxic"), "toxic", F.lit(True))
+
+
 def test_ordinal_grades_keep_their_order():
     rng = random.Random(1)
     pool = [["zz###", "q$$$"], ["plain", "middling"], ["lucid", "careful", "worked"]]
