@@ -90,18 +90,18 @@ class MultiIndex:
 
 
 class Items:
-    """Benchmark items of one block, by their number of words. Items of equal words are one, named by the least id; items without words are left out."""
+    """Benchmark items of one block, by their number of words. Items of equal words are one, named by the least id, null only if all are; items without words are left out."""
 
-    def __init__(self, ids: list[int], texts: pa.Array):
+    def __init__(self, ids: list[int | None], texts: pa.Array):
         at, words = plain_words(texts)
         hashes = word_hashes(words)
-        by_words: dict[bytes, tuple[int, np.ndarray]] = {}
+        by_words: dict[bytes, tuple[int | None, np.ndarray]] = {}
         for key, (lo, hi) in zip(ids, pairwise(at.tolist()), strict=True):
-            if hi > lo and key is not None:
-                same = by_words.get(hashes[lo:hi].tobytes())
-                by_words[hashes[lo:hi].tobytes()] = (min(key, same[0]) if same else key, hashes[lo:hi])
+            if hi > lo:
+                same = by_words.get(hashes[lo:hi].tobytes(), (None,))[0]
+                by_words[hashes[lo:hi].tobytes()] = (min((k for k in (key, same) if k is not None), default=None), hashes[lo:hi])
         groups = defaultdict(list)
-        for key, h in sorted(by_words.values(), key=lambda x: x[0]):
+        for key, h in sorted(by_words.values(), key=lambda x: (x[0] is not None, x[0])):
             groups[len(h)].append((key, shingled(h)))
         #: by size: ids, shingle counts, index, the shingles of all
         self.sizes = {n: ([k for k, _ in g], [Counter(s.tolist()) for _, s in g], MultiIndex(np.stack([simhash(s) for _, s in g])), np.unique(np.concatenate([s for _, s in g]))) for n, g in groups.items()}
@@ -129,7 +129,7 @@ class Items:
                     best = found.get((n, i))
                     if alike >= SIMILARITY and (best is None or alike > best["similarity"]):
                         found[n, i] = {"item_id": ids[i], "start": start, "words": size + width - 1, "similarity": alike, "bits": bits}
-        return sorted(found.values(), key=lambda m: tuple(m.values()))
+        return sorted(found.values(), key=lambda m: (m["item_id"] is not None, *m.values()))
 
     def search(self, texts: pa.Array) -> list[list[dict]]:
         """Matches of each text."""
@@ -197,6 +197,8 @@ MATCHES = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (id, matches): the documents with a window at SIMILARITY or more to an item, with the best window per item, in order of item_id.
 
+    Items are found whatever their id; one without an id has item_id null, first in order.
+
     Null and blank texts match nothing; a document shorter than an item is one window; items and
     documents of fewer than five words are one shingle. Repeated rows are found each. Only the named columns are read.
     block_bytes bounds the items of one pass and decides nothing about the rows.

@@ -29,7 +29,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per contaminated document: its items (least id of equal ones), the best similarity and where it starts."""
+    """One row per contaminated document: its items (least id of equal ones, "null" without one), the best similarity and where it starts."""
     from siltline.llm.decontam import contaminated
 
     found = contaminated(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
@@ -37,7 +37,7 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         F.col("id").alias("doc_id"),
         F.size("matches").cast("long").alias("n_items"),
-        F.concat_ws(",", F.transform("matches", lambda m: m["item_id"].cast("string"))).alias("item_ids"),
+        F.concat_ws(",", F.transform("matches", lambda m: F.coalesce(m["item_id"].cast("string"), F.lit("null")))).alias("item_ids"),
         F.round(best["similarity"], 6).alias("similarity"),
         (-best["col2"]).alias("start"),
     )

@@ -180,6 +180,20 @@ def test_decontamination_is_alike_in_any_blocks(spark):
     assert rows(decontam.contaminated(docs, benchmark, block_bytes=400)) == whole
 
 
+def test_decontamination_finds_items_without_an_id(spark, tmp_path):
+    from siltline.llm.queries import op3_decontamination
+
+    one, two, three = (" ".join(f"{c}{i}" for i in range(9)) for c in "abc")
+    spark.createDataFrame([(1, f"x {one} y"), (2, f"{two} {three} {one}"), (3, "clean")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, one), (None, two), (None, three), (7, three.upper())], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = op3_decontamination(spark, str(tmp_path)).select("doc_id", "n_items", "item_ids").collect()
+    assert sorted(map(tuple, found)) == [(1, 1, "null"), (2, 3, "null,null,7")]
+    docs, items = table(spark, str(tmp_path), "documents"), table(spark, str(tmp_path), "benchmark")
+    assert [r["doc_id"] for r in decontam.without_matches(docs, items).collect()] == [3]
+    rows = lambda df: sorted(((r["id"], [tuple(m) for m in r["matches"]]) for r in df.collect()), key=str)
+    assert rows(decontam.contaminated(docs, items)) == rows(decontam.contaminated(docs, items, block_bytes=50))
+
+
 def test_multi_index_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     prints = rng.integers(0, 1 << 63, (200, decontam.LANES), dtype=np.uint64)
