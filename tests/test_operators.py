@@ -163,3 +163,11 @@ def test_cluster_components_join_all_line_items(spark, tmp_path):
         members.setdefault(top(o), []).append(o)
     expected = sorted((c, len(m), max(m)) for c, m in members.items())
     assert len(expected) > 2 and rows(cluster_components(spark, str(tmp_path)), "component", "roots", "last") == expected
+
+
+def test_zero_test_reads_whole_texts(spark, tmp_path):
+    from siltline.plans.checks import zero_test_case
+
+    docs = [(5, "\0" * 64 + "tail"), (10, "\0" * 200), (15, "text"), (11, "text"), (3, "\0")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert rows(zero_test_case(spark, str(tmp_path)), "status", "n") == [("cksum_mismatch", 2), ("ok", 1), ("zeroed", 2)]
