@@ -4,15 +4,19 @@ Smoothed n-grams (to order 3) become states; a state's arcs are the n-grams that
 failure arc leads to its longest proper suffix at the cost of a backoff weight. One traversal from left to right
 carries the state and adds up log-probabilities.
 
-A token's cost on that path depends on its trigram only, so the score of a text is a sum of weights of its n-grams:
-log p(w) and the backoff of w for each word, and for each bigram and trigram of the model what it adds to the
-shorter ones. BackoffScorer keeps these weights in tables of any size and looks them up by a shuffle;
-Automaton is the definition, for models of one block.
-
-Unigrams are exact for every word of the corpus; words too rare for the broadcast vocabulary are joined with the
-count table. Bigrams and trigrams are kept from an absolute count on (two), so the model grows with the corpus.
-Every text is dealt once, as its windows of three words, by the hash of a window's first two: a partition holds all
-occurrences of a bigram and of the trigrams that continue it. Words are told apart by 64-bit hashes, bigrams and trigrams by 64-bit hashes of those.
+Every n-gram of the training texts is in the model. Smoothing is by hierarchical Dirichlet priors,
+
+    p(w | h) = (n(hw) + k p(w | h')) / (n(h) + k),
+
+with h' the longest proper suffix of h, the add-one unigram at the end, and k by order (KAPPA). That is a
+distribution for each h, it needs the counts alone, and it is a backoff automaton: an arc where n(hw) > 0, else
+the failure arc of weight k / (n(h) + k).
+
+The counts are spread over partitions by the hash of the n-gram itself, so no context is a hot key. Each slice of
+texts asks for the n-grams it holds, every different one once, with how often its training texts hold it; a
+partition adds up what all slices bring and answers in the order of the asking. Answers meet the slice's texts
+again, and the automaton restricted to the slice's own n-grams is built and run. Nothing is broadcast and no
+n-gram is cut off. Words are told apart by 64-bit hashes, bigrams and trigrams by 56-bit hashes.
 """
 
 from __future__ import annotations
@@ -23,23 +27,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import RDD, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltline.llm.text import mixed, slices, split_words, word_hashes
-from siltline.session import cut, ship, written
+from siltline.session import ship, written
 
-SLICE = 12 << 20
-#: Stands for the end of a text in count tables; no word holds a space.
+#: Text of one slice, and text whose n-grams are counted in one partition, about.
+SLICE, PART_BYTES = 12 << 20, 24 << 20
+#: Stands for the end of a text, and for what comes before its first word; no word holds a space.
 END = " "
-#: A word of the vocabulary has this many bytes at most, which bounds its size; longer ones are joined.
-WORD_BYTES = 64
-#: Text whose windows go to one partition, about.
-PART_BYTES = 16 << 20
-#: Weights that are dealt out at once.
-DEALT = 1 << 19
-DISCOUNT = 0.75
+#: Weight of the shorter context's distribution, in tokens, for bigrams and trigrams.
+KAPPA = (1000.0, 8.0)
+#: Bits of the hashes of words, bigrams and trigrams.
+BITS = (64, 56, 56)
+#: Texts that are traversed in step; the last few go one by one.
+FEW = 16
 
 
 def held_out(id_col: str, folds: int, fold: int) -> Column:
@@ -47,414 +50,316 @@ def held_out(id_col: str, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(ends of texts in tokens, token codes with len(words) for the end, different words)."""
-    at, words = split_words(texts, lower=True)
-    coded = words.dictionary_encode()
-    n = len(coded.dictionary)
-    ids = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at[1:], n)
-    return at[1:] + np.arange(1, len(at)), ids, coded.dictionary
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(mixed(a) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def _hashed(words: pa.Array) -> np.ndarray:
-    """Hashes of words and of the end, then 0 for no word; no word has 0."""
-    h = word_hashes(pa.concat_arrays([words, pa.array([END], words.type)]))
-    return np.append(np.where(h == 0, np.uint64(1), h), np.uint64(0))
+class Grams:
+    """The n-grams of a slice of texts; every text ends with END, and END leads it as a context.
 
+    keys[k]: sorted different hashes of order k + 1; which[k]: by token, the n-gram that ends with it (-1: trigrams of
+    first tokens); ends: by text; code: by token, END is the last code.
+    """
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return mixed(mixed(a) * np.uint64(0x9E3779B97F4A7C15) + b)
+    def __init__(self, texts: pa.Array):
+        at, words = split_words(texts, lower=True)
+        coded = words.dictionary_encode()
+        self.end = len(coded.dictionary)
+        self.code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at[1:], self.end)
+        self.ends = at[1:] + np.arange(1, len(at))
+        x = word_hashes(pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)]))
+        first = np.zeros(len(self.code), bool)
+        first[np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]] = True
+        before = np.concatenate([[self.end], self.code[:-1]])[: len(self.code)]
+        h = x[self.code]
+        two = _pair(x[before], h)
+        later = np.flatnonzero(~first)
+        three = _pair(two[later - 1], h[later])
+        some = np.arange(self.end + 1) if len(self.code) else np.zeros(0, np.int64)
+        one, place = np.unique(x[some], return_inverse=True)
+        two, inner = np.unique(two >> np.uint64(64 - BITS[1]), return_inverse=True)
+        three, third = np.unique(three >> np.uint64(64 - BITS[2]), return_inverse=True)
+        trigram = np.full(len(self.code), -1, np.int64)
+        trigram[later] = third
+        self.first, self.keys, self.which = first, (one, two, three), (place[self.code], inner, trigram)
 
+    @property
+    def doc(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.ends)), np.diff(self.ends, prepend=0))
 
-def _bucket(pair: np.ndarray, parts: int) -> np.ndarray:
-    return ((pair >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+    def counts(self, learnt: np.ndarray) -> list[np.ndarray]:
+        """How often the texts that are learnt from hold each n-gram."""
+        real = learnt[self.doc]
+        return [np.bincount(w[real & (w >= 0)], minlength=len(k)) for w, k in zip(self.which, self.keys, strict=True)]
 
 
-def _same(key: int) -> int:
-    return key
+def _edges(keys: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """Where the keys of each of `parts` equal ranges begin, and the end."""
+    bounds = np.array([(k << bits) // parts for k in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, bounds), [len(keys)]])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """Rows (gram, x, n): each word with its hash and count."""
+def _planes(values: np.ndarray, width: int) -> bytes:
+    return values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes()
 
-    def run(batches):
-        for b in slices(batches, "t", SLICE):
-            _, ids, words = _coded(b.column("t"))
-            n = np.bincount(ids, minlength=len(words) + 1)
-            names = pa.concat_arrays([words, pa.array([END])])
-            yield pa.RecordBatch.from_arrays([names, pa.array(_hashed(words)[:-1].view(np.int64)), pa.array(n)], ["gram", "x", "n"])
 
-    return texts.mapInArrow(run, "gram string, x long, n long").groupBy("gram", "x").agg(F.sum("n").alias("n"))
+def _unplaned(raw: memoryview, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
 
-def _packed(at: int, x: np.ndarray, columns: list[np.ndarray]) -> bytes:
-    """A block of windows: the place of its slice, hashes of words, and (first, second, third, text and learnt) by byte planes."""
-    columns = [np.diff(columns[0], prepend=0), *columns[1:]]
-    planes = np.stack(columns).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    raw = np.array([at, len(x), len(columns[0])], np.int64).tobytes() + x.tobytes() + planes.tobytes()
+def _packed(parts: list[bytes]) -> bytes:
+    raw = np.array([len(parts), *map(len, parts)], np.int64).tobytes() + b"".join(parts)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
-def _unpacked(blob: bytes):
-    """(place, hashes of first, second and third words, text in the slice, whether it is learnt from)."""
-    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
-    at, words, n = np.frombuffer(raw, np.int64, 3).tolist()
-    x = np.frombuffer(raw, np.uint64, words, 24)
-    planes = np.frombuffer(raw, np.uint8, 16 * n, 24 + 8 * words).reshape(4, -1).T
-    u, v, w, doc = np.ascontiguousarray(planes).view("<u4").reshape(4, n)
-    return at, x[np.cumsum(u, dtype=np.int64)], x[v], x[w], (doc >> 1).astype(np.int64), (doc & 1).astype(bool)
-
-
-def windows(docs: DataFrame, parts: int) -> RDD:
-    """(bucket, block) pairs: the windows of three words of all texts, each led by an end; after the last end there is no third."""
-
-    def run(batches):
-        at = TaskContext.get().partitionId() << 36
-        for b in slices(batches, "t", SLICE):
-            ends, ids, words = _coded(b.column("t"))
-            x, end = _hashed(words), len(words)
-            u, w = np.insert(ids[:-1], 0, end), np.append(ids[1:], end)
-            w[ids == end] = end + 1
-            learnt = pc.fill_null(b.column("learnt"), False).to_numpy(zero_copy_only=False).astype(np.int64)
-            doc = np.repeat(np.arange(len(ends)) * 2 + learnt, np.diff(ends, prepend=0))
-            bucket = _bucket(_pair(x[u], x[ids]), parts)
-            order = np.argsort((bucket * len(x) + u) * len(x) + ids, kind="stable")
-            columns, edges = [c[order] for c in (u, ids, w, doc)], np.cumsum(np.bincount(bucket, minlength=parts))
-            code = np.zeros(len(x), np.int64)
-            found = []
-            for k in np.flatnonzero(np.diff(edges, prepend=0)).tolist():
-                lo, hi = (int(edges[k - 1]) if k else 0), int(edges[k])
-                mine = [c[lo:hi] for c in columns]
-                used = np.zeros(len(x), bool)
-                for c in mine[:3]:
-                    used[c] = True
-                used = np.flatnonzero(used)
-                code[used] = np.arange(len(used))
-                found.append((k, _packed(at, x[used], [*(code[c] for c in mine[:3]), mine[3]])))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["b", "blob"])
-            at += len(ends)
-
-    dealt = docs.select("learnt", "t").mapInArrow(run, "b int, blob binary").rdd
-    return dealt.map(lambda r: (r[0], (True, bytes(r[1])))).partitionBy(parts, _same)
-
-
-def _grams_of(blocks, least: int):
-    """Tables of the n-grams of one partition that training texts hold `least` times, see NGRAMS."""
-    found = [[c[learnt] for c in (u, v, w)] for _, u, v, w, _, learnt in (_unpacked(blob) for _, (_, blob) in blocks)]
-    if not found:
-        return
-    u, v, w = (np.concatenate(c) for c in zip(*found, strict=True))
-    del found
-    two, first, which, n = np.unique(_pair(u, v), return_index=True, return_inverse=True, return_counts=True)
-    keep = n >= least
-    at = np.flatnonzero(keep[which] & (w != 0))
-    three, rep, n3 = np.unique(_pair(two[which[at]], w[at]), return_index=True, return_counts=True)
-    often = n3 >= least
-    three, rep, n3 = three[often], at[rep[often]], n3[often]
-    context = which[rep]
-    p3 = (n3 - DISCOUNT) / n[context]
-    spent, has = np.bincount(context, p3, len(two)), np.bincount(context, minlength=len(two)) > 0
-    signed = lambda x: pa.array(x.view(np.int64))
-    keep = np.flatnonzero(keep)
-    yield [pa.array(np.full(len(keep), 2)), signed(two[keep]), signed(two[keep]), signed(u[first[keep]]), signed(v[first[keep]]), pa.array(n[keep]), pa.array(1 - spent[keep], mask=~has[keep])]
-    yield [pa.array(np.full(len(rep), 3)), signed(two[context]), signed(three), signed(_pair(v[rep], w[rep])), signed(w[rep]), pa.array(n3), pa.array(p3)]
-
-
-#: o: words of the n-gram; r: hash of its first two; h: its hash; bigrams: a, b hashes of the words, x what is left for backoff (null: no trigram continues it);
-#: trigrams: a hash of the last two, x the probability.
-NGRAMS = "o long, r long, h long, a long, b long, n long, x double"
-
-
-def _frame(spark, tables: RDD, schema: str) -> DataFrame:
-    """Lists of Arrow columns as a DataFrame."""
-    names = [c.split()[0] for c in schema.split(", ")]
-
-    def ipc(columns: list[pa.Array]):
-        batch = pa.RecordBatch.from_arrays(columns, names)
-        for lo in range(0, batch.num_rows, 1 << 16):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, batch.schema) as out:
-                out.write_batch(batch.slice(lo, 1 << 16))
-            yield (sink.getvalue().to_pybytes(),)
-
-    def run(batches):
-        for b in batches:
-            for blob in b.column(0).to_pylist():
-                yield from pa.ipc.open_stream(blob)
-
-    return spark.createDataFrame(tables.flatMap(ipc), "blob binary", verifySchema=False).mapInArrow(run, schema)
-
-
-def _dealt_weights(weights: DataFrame, parts: int) -> RDD:
-    """(bucket, block) pairs of rows (o, r, h, weight), dealt like the windows."""
-
-    def blocks(held):
-        o, r, h, x = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("o", "r", "h", "weight"))
-        bucket = _bucket(r.view(np.uint64), parts)
-        order = np.argsort(bucket, kind="stable")
-        edges = np.cumsum(np.bincount(bucket, minlength=parts))
-        for k in np.flatnonzero(np.diff(edges, prepend=0)).tolist():
-            i = order[(edges[k - 1] if k else 0) : edges[k]]
-            yield k, np.stack([o[i], h[i], x[i].view(np.int64)]).tobytes()
-
-    def run(batches):
-        held, n = [], 0
-        for b in batches:
-            held, n = [*held, b], n + b.num_rows
-            if n >= DEALT:
-                found = list(blocks(held))
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["b", "blob"])
-                held, n = [], 0
-        if n:
-            found = list(blocks(held))
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], ["b", "blob"])
-
-    return weights.mapInArrow(run, "b int, blob binary").rdd.map(lambda r: (r[0], (False, bytes(r[1])))).partitionBy(parts, _same)
-
-
-def _sums(blocks):
-    """Per block of windows: the keys of its texts and the weights of their bigrams and trigrams, added up. Weights come before windows."""
-    held, tables = [], None
-    for _, (is_windows, blob) in blocks:
-        if not is_windows:
-            if tables is not None:
-                raise RuntimeError("weights after windows")
-            held.append(np.frombuffer(blob, np.int64).reshape(3, -1))
-            continue
-        if tables is None:
-            o, h, x = np.concatenate([np.zeros((3, 0), np.int64), *held], axis=1)
-            tables = []
-            for k in (2, 3):
-                at = np.flatnonzero(o == k)
-                at = at[np.argsort(h[at].view(np.uint64))]
-                tables.append((h[at].view(np.uint64), x[at].view(np.float64)))
-            held = None
-        at, u, v, w, doc, _ = _unpacked(blob)
-        two = _pair(u, v)
-        total, some = np.zeros(int(doc.max()) + 1), np.zeros(int(doc.max()) + 1, bool)
-        for (keys, weight), h, real in zip(tables, (two, _pair(two, w)), (np.ones(len(w), bool), w != 0), strict=True):
-            if len(keys):
-                i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                hit = (keys[i] == h) & real
-                total += np.bincount(doc[hit], weight[i[hit]], len(total))
-                some[doc[hit]] = True
-        some = np.flatnonzero(some)
-        yield [pa.array(at + some), pa.array(total[some])]
+def _unpacked(blob: bytes) -> list[memoryview]:
+    raw = memoryview(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True))
+    n = int(np.frombuffer(raw[:8], np.int64)[0])
+    at = 8 + 8 * n + np.concatenate([[0], np.cumsum(np.frombuffer(raw[8 : 8 + 8 * n], np.int64))])
+    return [raw[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+def _slices(batches, size: int):
+    """(key, slice): keys are unique over all partitions of the scan, and the same each time it is read."""
+    n = 0
+    for b in slices(batches, "t", size):
+        if b.num_rows:
+            yield (b.column("part")[0].as_py() << 32) + n, b.drop_columns(["part"])
+            n += 1
+
+
+ASKS = "bucket int, slice long, kind int, blob binary"
+
+
+def _row(bucket: int, key: int, kind: int, blob: bytes) -> list:
+    return [pa.array([bucket], pa.int32()), pa.array([key], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())]
+
+
+def _asks(batches, size: int, parts: int):
+    """Rows of ASKS: the n-grams of each slice, by bucket: hashes (as differences) and counts of each order."""
+    names = [c.split()[0] for c in ASKS.split(", ")]
+    for key, b in _slices(batches, size):
+        grams = Grams(b.column("t"))
+        counts = grams.counts(pc.fill_null(b.column("learnt"), False).to_numpy(zero_copy_only=False).astype(bool))
+        edges = [_edges(k, bits, parts) for k, bits in zip(grams.keys, BITS, strict=True)]
+        for p in range(parts):
+            blobs = []
+            for k, n, e in zip(grams.keys, counts, edges, strict=True):
+                blobs += [_planes(np.diff(k[e[p] : e[p + 1]], prepend=np.uint64(0)), 8), _planes(n[e[p] : e[p + 1]], 4)]
+            if any(blobs):
+                yield pa.RecordBatch.from_arrays(_row(p, key, 0, _packed(blobs)), names)
+
+
+def _answers(batches):
+    """Rows of ASKS, one per ask: the counts over all slices in the order of the asking (kind 0); and one (kind 2) with the
+    number of training tokens and of different training words."""
+    names = [c.split()[0] for c in ASKS.split(", ")]
+    asked: dict[int, list[tuple[int, bytes]]] = {}
+    for b in batches:
+        for bucket, key, blob in zip(b.column("bucket").to_pylist(), b.column("slice").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            asked.setdefault(bucket, []).append((key, blob))
+    for bucket, some in asked.items():
+        answers: list[list[bytes]] = [[] for _ in some]
+        tokens = distinct = 0
+        opened = [_unpacked(blob) for _, blob in some]
+        for order in range(len(BITS)):
+            keys = [np.cumsum(_unplaned(o[2 * order], 8), dtype=np.uint64) for o in opened]
+            at = np.cumsum([0, *map(len, keys)])
+            different, which = np.unique(np.concatenate(keys), return_inverse=True)
+            del keys
+            # sums of whole numbers below 2**53 are exact
+            total = np.bincount(which, np.concatenate([_unplaned(o[2 * order + 1], 4) for o in opened]), len(different)).astype(np.int64)
+            if order == 0:
+                tokens, distinct = int(total.sum()), int((total > 0).sum())
+            for i in range(len(some)):
+                answers[i].append(_planes(total[which[at[i] : at[i + 1]]], 4 if order else 8))
+        for (key, _), parts in zip(some, answers, strict=True):
+            yield pa.RecordBatch.from_arrays(_row(bucket, key, 0, _packed(parts)), names)
+        yield pa.RecordBatch.from_arrays(_row(bucket, -1, 2, np.array([tokens, distinct], np.int64).tobytes()), names)
+
+
+def _texts(batches, size: int):
+    """Rows of ASKS, one per slice (kind 1): its rows as an Arrow stream."""
+    names = [c.split()[0] for c in ASKS.split(", ")]
+    for key, b in _slices(batches, size):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(b)
+        yield pa.RecordBatch.from_arrays(_row(0, key, 1, sink.getvalue().to_pybytes()), names)
 
 
 @dataclass
 class Automaton:
-    """States: 0 the root, 1 + w for word w, then the bigrams that some trigram continues."""
+    """States: 0 the root, then one per word, then one per bigram that is a context. depth: words of the state's context.
 
-    words: pa.Array
-    counts: np.ndarray
-    tokens: int
-    distinct: int
-    arcs: np.ndarray
-    cost: np.ndarray
-    target: np.ndarray
+    arcs[d][t] is the arc that token t follows out of the state of depth d + 1 that its predecessors lead to, -1 if that
+    state has none for it: the lookup of an arc is done when the automaton is built.
+    """
+
+    depth: np.ndarray
     fail: np.ndarray
     fail_cost: np.ndarray
-    busy: np.ndarray
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 1
-
-    def unigram(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.tokens + self.distinct + 1))
-
-    def codes(self, words: pa.Array) -> np.ndarray:
-        """Vocabulary codes of different words; -1: not in it."""
-        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-
-    def traverse(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Scores of texts; ids: codes (-1: rare, its unigram term is left out). Texts advance in step, the longest first."""
-        starts = np.concatenate([[0], ends[:-1]])
+    cost: np.ndarray
+    target: np.ndarray
+    arcs: tuple[np.ndarray, np.ndarray]
+    root_cost: np.ndarray
+    root_target: np.ndarray
+    start: int
+
+    def traverse(self, ends: np.ndarray) -> np.ndarray:
+        """Scores of texts (log10). They advance in step, the longest first; the last few go on one by one."""
+        starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
         length = ends - starts
         order = np.argsort(-length, kind="stable")
         starts, length = starts[order], length[order]
-        unigram = self.unigram(self.counts)
-        state = np.full(len(order), self.codes(pa.array([END]))[0] + 1)
+        state = np.full(len(order), self.start)
         total = np.zeros(len(order))
-        # what it costs to fall from a state to the root
-        falls = self.fail_cost + np.where(self.fail > 0, self.fail_cost[self.fail], 0)
-        for t in range(int(length[0]) if len(length) else 0):
+        t = 0
+        while len(length) and t < length[0]:
             active = int(np.searchsorted(-length, -t, side="left"))
-            w = ids[starts[:active] + t]
-            s = state[:active]
-            known = w >= 0
-            # without arcs at or below: straight to the root
-            left = np.flatnonzero(known & self.busy[s])
-            straight = np.ones(active, bool)
-            straight[left] = False
-            total[:active][straight] += falls[s[straight]]
-            s[straight] = 0
-            while len(left):
-                key = s[left] * self.size + w[left]
-                at = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-                hit = self.arcs[at] == key if len(self.arcs) else np.zeros(len(left), bool)
-                total[left[hit]] += self.cost[at[hit]]
-                s[left[hit]] = self.target[at[hit]]
-                known[left[hit]] = False
-                miss = left[~hit]
-                total[miss] += self.fail_cost[s[miss]]
+            if active <= FEW:
+                break
+            at, s, sums = starts[:active] + t, state[:active], np.zeros(active)
+            reached, left = np.zeros(active, bool), np.arange(active)
+            for d in (2, 1):
+                here = left[self.depth[s[left]] == d]
+                arc = self.arcs[d - 1][at[here]]
+                hit = arc >= 0
+                sums[here[hit]] += self.cost[arc[hit]]
+                s[here[hit]] = self.target[arc[hit]]
+                miss = here[~hit]
+                sums[miss] += self.fail_cost[s[miss]]
                 s[miss] = self.fail[s[miss]]
-                left = miss[s[miss] > 0]
-            total[:active][known] += unigram[w[known]]
-            s[known] = w[known] + 1
+                reached[here[hit]] = True
+                left = np.flatnonzero(~reached)
+            sums[left] += self.root_cost[at[left]]
+            s[left] = self.root_target[at[left]]
+            total[:active] += sums
+            t += 1
+        for i in range(int(np.searchsorted(-length, -t, side="left"))):
+            total[i] += self._one(int(state[i]), int(starts[i] + t), int(starts[i] + length[i]))
         out = np.empty(len(order))
         out[order] = total
         return out
 
-
-def build(words: list[tuple[str, int]], grams: list[tuple[str, int]], tokens: int, distinct: int, discount: float = DISCOUNT) -> Automaton:
-    """The automaton: absolute discounting; each backoff weight spreads what a context has left over its other continuations."""
-    names = pa.array([w for w, _ in words], pa.string())
-    counts = np.array([n for _, n in words], np.int64)
-    code = {w: i for i, (w, _) in enumerate(words)}
-    known = [(tuple(code.get(w, -1) for w in g.split("\t")), n) for g, n in grams]
-    table = {g: n for g, n in known if min(g) >= 0}
-    # a context that was pruned takes the n-grams that continue it along
-    table = {g: n for g, n in table.items() if len(g) == 2 or (g[:2] in table and g[1:] in table)}
-    contexts = sorted({g[:2] for g in table if len(g) == 3})
-    size = len(words) + 1
-    state = {g: size + i for i, g in enumerate(contexts)}
-    n_states = size + len(contexts)
-    one = (counts + 1) / (tokens + distinct + 1)
-    p, left, lower = {}, np.ones(n_states), np.ones(n_states)
-    for g, n in sorted(table.items(), key=lambda x: len(x[0])):
-        if len(g) == 2:
-            here, below = 1 + g[0], one[g[1]]
-            p[g] = (n - discount) / max(counts[g[0]], n)
-        else:
-            here, below = state[g[:2]], p[g[1:]]
-            p[g] = (n - discount) / max(table[g[:2]], n)
-        left[here] -= p[g]
-        lower[here] -= below
-    fail = np.zeros(n_states, np.int64)
-    fail_cost = np.log10(np.maximum(left, 1e-9) / np.maximum(lower, 1e-9))
-    for g, i in state.items():
-        fail[i] = 1 + g[1]
-    arcs = []
-    for g, x in p.items():
-        here = 1 + g[0] if len(g) == 2 else state[g[:2]]
-        arcs.append((here * size + g[-1], math.log10(x), state.get(g[-2:], 1 + g[-1])))
-    arcs.sort()
-    has = np.zeros(n_states, bool)
-    has[[a // size for a, _, _ in arcs]] = True
-    return Automaton(
-        names, counts, tokens, distinct, np.array([a[0] for a in arcs], np.int64), np.array([a[1] for a in arcs]), np.array([a[2] for a in arcs], np.int64), fail, fail_cost, has | (has[fail] & (fail > 0))
-    )
+    def _one(self, state: int, lo: int, hi: int) -> float:
+        """The rest of one text, from a state."""
+        total, depth, fail = 0.0, self.depth, self.fail
+        first, second = (a[lo:hi].tolist() for a in self.arcs)
+        root_cost, root_target = self.root_cost[lo:hi].tolist(), self.root_target[lo:hi].tolist()
+        for i in range(hi - lo):
+            while state:
+                arc = second[i] if depth[state] == 2 else first[i]
+                if arc >= 0:
+                    total += self.cost[arc]
+                    state = self.target[arc]
+                    break
+                total += self.fail_cost[state]
+                state = fail[state]
+            else:
+                total += root_cost[i]
+                state = root_target[i]
+        return float(total)
+
+
+def build(grams: Grams, counts: list[np.ndarray], tokens: int, distinct: int, kappa: tuple[float, float] = KAPPA) -> Automaton:
+    """The automaton restricted to the n-grams of a slice; counts: over the whole training texts, in the order of grams.keys."""
+    n1, n2, n3 = counts
+    words = len(n1)
+    one = (n1 + 1) / (tokens + distinct + 1)
+    place, bigram, trigram = grams.which
+    at2, at3 = _firsts(bigram, len(n2)), _firsts(trigram, len(n3))
+    end = place[grams.ends[0] - 1] if len(grams.ends) else 0
+    before = np.concatenate([[end], place[:-1]])[: len(place)]
+    # per bigram: the words; per trigram: its two bigrams
+    u, v = before[at2], place[at2]
+    p2 = (n2 + kappa[0] * one[v]) / (n1[u] + kappa[0])
+    context = (n2 > 0) & (v != end)
+    state2 = np.where(context, 1 + words + np.cumsum(context) - 1, 1 + v)
+    head, tail = bigram[at3 - 1], bigram[at3]
+    p3 = (n3 + kappa[1] * p2[tail]) / (n2[head] + kappa[1])
+    has2, has3 = n2 > 0, n3 > 0
+    arc2 = np.where(has2, np.cumsum(has2) - 1, -1)
+    arc3 = np.where(has3, has2.sum() + np.cumsum(has3) - 1, -1)
+    log = np.log10
+    depth = np.concatenate([[0], np.ones(words, np.int64), np.full(context.sum(), 2)])
+    fail = np.concatenate([[0], np.zeros(words, np.int64), 1 + v[context]])
+    fail_cost = np.concatenate([[0.0], log(kappa[0] / (n1 + kappa[0])), log(kappa[1] / (n2[context] + kappa[1]))])
+    arcs = (arc2[bigram] if len(bigram) else bigram, np.where(trigram >= 0, arc3[trigram], -1) if len(n3) else np.full(len(trigram), -1))
+    target = np.concatenate([state2[has2], state2[tail[has3]]])
+    return Automaton(depth, fail, fail_cost, np.concatenate([log(p2[has2]), log(p3[has3])]), target, arcs, log(one)[place], 1 + place, 1 + int(end))
+
+
+def _firsts(which: np.ndarray, size: int) -> np.ndarray:
+    """A token of each n-gram."""
+    out = np.zeros(size, np.int64)
+    some = np.flatnonzero(which >= 0)
+    out[which[some]] = some
+    return out
+
+
+def _scores(batches, size: int, tokens: int, distinct: int, kappa: tuple[float, float], names: list[str]):
+    """Rows of scores; the answers of a slice come before its texts, in the order of their buckets."""
+    held: list[bytes] = []
+    now = None
+    for b in batches:
+        for key, kind, blob in zip(b.column("slice").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
+            if key != now:
+                held, now = [], key
+            if kind == 0:
+                held.append(blob)
+                continue
+            with pa.ipc.open_stream(blob) as source:
+                rows = pa.Table.from_batches(list(source)).combine_chunks().to_batches()[0]
+            grams = Grams(rows.column("t"))
+            opened = [_unpacked(x) for x in held]
+            counts = [np.concatenate([np.zeros(0, np.int64), *(_unplaned(o[k], 4 if k else 8).astype(np.int64) for o in opened)]) for k in range(len(BITS))]
+            if [len(c) for c in counts] != [len(k) for k in grams.keys]:
+                raise RuntimeError("the texts came in another order: give a scan or a checkpoint")
+            del opened
+            model = build(grams, counts, tokens, distinct, kappa)
+            starts = np.concatenate([[0], grams.ends[:-1]])
+            known = np.add.reduceat((counts[0] > 0)[grams.which[0]].astype(np.int64), starts)
+            base = np.add.reduceat(model.root_cost, starts)
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("id"), rows.column("learnt"), pa.array(np.diff(grams.ends, prepend=0)), pa.array(known), pa.array(np.full(len(known), tokens)), pa.array(base), pa.array(model.traverse(grams.ends))],
+                names,
+            )
 
 
 class BackoffScorer:
     """Learns from the rows where `learn` holds and scores every row.
 
-    vocabulary: words of 1 in so many tokens at least are broadcast (so at most that many, WORD_BYTES each); the
-    others are joined. least: how often an n-gram of two or three words must occur to be in the model. Null and blank
-    texts hold one token, the end. Null ids are learnt from. Repeated rows count as often as they occur. Without rows
+    kappa: see KAPPA. slice_bytes: text that is scored with one automaton; part_bytes: text whose n-grams are counted in one
+    partition; both bound memory and decide nothing about the rows (at 100 TB raise both, as there is a block per
+    slice and part). Null and blank texts hold one token, the end. Null ids are learnt from unless `learn` says otherwise;
+    where it is null, nothing is learnt. Repeated rows count as often as they occur. Without rows
     to learn from every token costs log10(1). Only the named columns are read; they are read more than once and must
-    come in the same order each time, as from a scan or a checkpoint.
+    come in the same order each time, as from a scan or a checkpoint (what comes otherwise is an error).
     """
 
-    def __init__(self, vocabulary: int = 1 << 20, least: int = 2):
-        self.vocabulary, self.least = vocabulary, least
-
-    def weights(self, dealt: RDD, counts: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
-        """(rows (a, bow): the backoff of each word that has one, rows (o, r, h, weight) of bigrams and trigrams); total: tokens + distinct + 1."""
-        spark, least = counts.sparkSession, self.least
-        grams = written(_frame(spark, dealt.mapPartitions(lambda x: _grams_of(x, least)), NGRAMS), "ngrams")
-        one, two = counts.select(F.col("x").alias("a"), F.col("n").alias("of")), counts.select(F.col("x").alias("b"), ((F.col("n") + 1) / F.lit(float(total))).alias("one"))
-        share = (F.col("n") - DISCOUNT) / F.greatest("of", "n")
-        bigrams = written(grams.where("o = 2").join(one, "a").join(two, "b").select("h", "a", "one", share.alias("p"), F.col("x").alias("left")), "bigrams")
-        backoff = lambda left, lower: F.log10(F.greatest(left, F.lit(1e-9)) / F.greatest(lower, F.lit(1e-9)))
-        bows = cut(bigrams.groupBy("a").agg(backoff(1 - F.sum("p"), 1 - F.sum("one")).alias("bow")))
-        trigrams = written(grams.where("o = 3").select("r", F.col("h").alias("h3"), F.col("x").alias("p3"), F.col("a").alias("h")).join(bigrams.select("h", "p"), "h").select("r", "h3", "p3", "p"), "trigrams")
-        lower = cut(trigrams.groupBy("r").agg((1 - F.sum("p")).alias("lower")))
-        falls = cut(lower.join(bigrams.select(F.col("h").alias("r"), "left"), "r").select("r", backoff(F.col("left"), F.col("lower")).alias("fall")))
-        w2 = bigrams.join(bows, "a").join(falls.withColumnRenamed("r", "h"), "h", "left")
-        w2 = w2.select(F.lit(2).cast("long").alias("o"), F.col("h").alias("r"), "h", (F.log10("p") - F.log10("one") - F.col("bow") + F.coalesce("fall", F.lit(0.0))).alias("weight"))
-        w3 = trigrams.join(falls, "r").select(F.lit(3).cast("long").alias("o"), "r", F.col("h3").alias("h"), (F.log10("p3") - F.col("fall") - F.log10("p")).alias("weight"))
-        return bows, w2.unionByName(w3)
+    def __init__(self, kappa: tuple[float, float] = KAPPA, slice_bytes: int = SLICE, part_bytes: int = PART_BYTES):
+        self.kappa, self.slice_bytes, self.part_bytes = kappa, slice_bytes, part_bytes
 
     def score(self, docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Rows (id, learnt, n_tokens, n_known, train_tokens, base_score, score), one per row of docs.
 
-        base_score: the add-one unigram log10 probability; score: the backoff model's.
+        base_score: the add-one unigram log10 probability; score: the backoff automaton's.
         """
         spark = docs.sparkSession
         ship(spark)
-        docs = docs.select(F.col(id_col).alias("id"), learn.alias("learnt"), F.col(text_col).alias("t"))
-        size = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-        parts = max(spark.sparkContext.defaultParallelism, math.ceil(size / PART_BYTES))
-        counts = written(word_counts(docs.where("learnt").select("t")), "words")
-        tokens, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-        dealt = windows(docs, parts)
-        bows, weights = self.weights(dealt, counts, tokens + distinct + 1)
-        both = _dealt_weights(weights, parts).union(dealt)
-        if both.getNumPartitions() != dealt.getNumPartitions():
-            raise RuntimeError("weights and windows are dealt apart")
-        sums = _frame(spark, both.mapPartitions(_sums), "key long, s double").groupBy("key").agg(F.sum("s").alias("s"))
-        counts = written(counts.join(bows.withColumnRenamed("a", "x"), "x", "left").select("gram", "n", F.coalesce("bow", F.lit(0.0)).alias("bow")), "counts")
-        often = (F.col("n") >= F.lit(tokens / self.vocabulary)) & (F.octet_length("gram") <= WORD_BYTES)
-        words = counts.where(often | (F.col("gram") == END)).orderBy("gram").toArrow()
-        names, n, bow = words.column("gram").to_pylist(), words.column("n").to_numpy(), words.column("bow").to_numpy()
-        if END not in names:
-            names, n, bow = [*names, END], np.append(n, 0), np.append(bow, 0.0)
-        shared = spark.sparkContext.broadcast((build(list(zip(names, n.tolist(), strict=True)), [], tokens, distinct), bow))
-
-        def run(batches):
-            model, bow = shared.value
-            end = int(model.codes(pa.array([END]))[0])
-            known, unigram = model.counts > 0, model.unigram(model.counts)
-            at = TaskContext.get().partitionId() << 36
-            for b in slices(batches, "t", SLICE):
-                ends, ids, words = _coded(b.column("t"))
-                to = np.append(model.codes(words), end)
-                codes = to[ids]
-                rare = codes < 0
-                edges = np.concatenate([[0], ends[:-1]])
-                add = lambda x: np.add.reduceat(x, edges) if len(edges) else np.zeros(0)
-                which = np.flatnonzero(rare)
-                doc = np.searchsorted(ends, which, side="right")
-                pairs, times = np.unique(doc * (len(words) + 1) + ids[which], return_counts=True)
-                doc, word = pairs // (len(words) + 1), pairs % (len(words) + 1)
-                offsets = pa.array(np.searchsorted(doc, np.arange(len(ends) + 1)).astype(np.int32))
-                marks = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times.astype(np.int32))], ["w", "k"])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(at + np.arange(len(ends))),
-                        b.column("id"),
-                        b.column("learnt"),
-                        pa.array(np.diff(ends, prepend=0)),
-                        pa.array(add((~rare & known[codes]).astype(np.int64)).astype(np.int64)),
-                        pa.array(add(np.where(rare, 0.0, unigram[codes])).astype(float)),
-                        pa.array(add(np.where(rare, 0.0, bow[codes])).astype(float)),
-                        pa.ListArray.from_arrays(offsets, marks),
-                    ],
-                    ["key", "id", "learnt", "n", "known", "base", "bow", "rare"],
-                )
-                at += len(ends)
-
+        docs = docs.select(F.col(id_col).alias("id"), F.coalesce(learn, F.lit(False)).alias("learnt"), F.col(text_col).alias("t"), F.spark_partition_id().alias("part"))
+        total = docs.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
+        cores = spark.sparkContext.defaultParallelism
+        size, parts, kappa = self.slice_bytes, max(cores, math.ceil(total / self.part_bytes)), self.kappa
+        asks = docs.select("learnt", "t", "part").mapInArrow(lambda x: _asks(x, size, parts), ASKS)
+        answers = written(asks.repartitionById(parts, F.col("bucket")).mapInArrow(_answers, ASKS), "answers")
+        stats = answers.where("kind = 2").select("blob").toArrow().column("blob").to_pylist()  # one row per part
+        tokens, distinct = (int(x) for x in np.sum([np.frombuffer(x, np.int64) for x in stats] or [[0, 0]], axis=0))
+        texts = docs.mapInArrow(lambda x: _texts(x, size), ASKS)
+        met = answers.where("kind = 0").unionByName(texts).repartition(max(cores, math.ceil(total / size)), "slice").sortWithinPartitions("slice", "kind", "bucket")
         kind = docs.schema["id"].dataType.simpleString()
-        passed = written(docs.mapInArrow(run, f"key long, id {kind}, learnt boolean, n long, known long, base double, bow double, rare array<struct<w:string,k:int>>"), "passed")
-        marks = passed.select("key", F.explode("rare").alias("r")).select("key", F.col("r.w").alias("gram"), F.col("r.k").alias("k"))
-        term = F.col("k") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(float(tokens + distinct + 1)))
-        rare = (
-            marks.join(counts.hint("merge"), "gram", "left")
-            .groupBy("key")
-            .agg(F.sum(term).alias("more"), F.sum(F.col("k") * F.col("bow")).alias("fall"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("k"))
-        )
-        out = passed.drop("rare").join(rare.hint("merge"), "key", "left").join(sums.hint("merge"), "key", "left")
-        base = F.col("base") + F.coalesce("more", F.lit(0.0))
-        return out.select(
-            "id",
-            "learnt",
-            F.col("n").alias("n_tokens"),
-            (F.col("known") + F.coalesce("k", F.lit(0))).alias("n_known"),
-            F.lit(tokens).cast("long").alias("train_tokens"),
-            base.alias("base_score"),
-            (base + F.col("bow") + F.coalesce("fall", F.lit(0.0)) + F.coalesce("s", F.lit(0.0))).alias("score"),
-        )
+        schema = f"id {kind}, learnt boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        names = ["id", "learnt", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+        return met.mapInArrow(lambda x: _scores(x, size, tokens, distinct, kappa, names), schema)

@@ -256,82 +256,74 @@ def unigram(texts, learnt):
     return counts, sum(counts.values()), len(counts)
 
 
-@pytest.mark.parametrize("vocabulary", [1 << 20, 40])
-def test_lm_counts_and_base_scores(docs, vocabulary):
+@pytest.mark.parametrize("sizes", [(lm.SLICE, lm.PART_BYTES), (3000, 20_000)])
+def test_lm_rows_equal_the_definition(docs, sizes):
+    """Counts, base and score by dictionaries over all training texts; slices and parts of any size give the same."""
     rows = [(i, t, i is None or zlib.crc32(str(i).encode()) % 7 != 2) for i, t in pairs(docs)]
     counts, total, distinct = unigram([t for _, t, _ in rows], [ok for *_, ok in rows])
-    scored = lm.BackoffScorer(vocabulary, 200).score(docs, ~lm.held_out("doc_id", 7, 2)).collect()
-    expected = []
-    for i, t, ok in rows:
-        w = [*words(lowered(t)), " "]
-        expected.append((str(i), ok, len(w), sum(counts[x] > 0 for x in w), total, round(sum(math.log10((counts[x] + 1) / (total + distinct + 1)) for x in w), 6)))
-    assert sorted((str(r["id"]), r["learnt"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in scored) == sorted(expected)
-    assert all(r["score"] <= 0 for r in scored)
-
-
-def test_lm_automaton_is_a_distribution_and_equals_its_definition():
-    grams = [("a", 30), ("b", 20), ("c", 6), (" ", 10)]
-    longer = [("a\tb", 12), (" \ta", 8), ("b\tc", 5), ("a\tb\tc", 4), (" \ta\tb", 3)]
-    model = lm.build(sorted(grams), longer, 66, 5)
-    names = model.words.to_pylist()
+    longer = collections.Counter()
+    for _, t, ok in rows:
+        if ok:
+            led = [" ", *words(lowered(t)), " "]
+            longer.update(tuple(led[i : i + n]) for n in (2, 3) for i in range(len(led) - n + 1))
 
     def p(history, w):
-        """Backoff by definition, on the model's own tables."""
-        state = {(): 0} | {(x,): 1 + names.index(x) for x in names}
-        for i, g in enumerate(sorted([("a", "b"), (" ", "a")], key=lambda g: [names.index(x) for x in g])):
-            state[g] = model.size + i
-        while history and history not in state:
-            history = history[1:]
-        key = state[history] * model.size + names.index(w)
-        at = int(np.searchsorted(model.arcs, key))
-        if history and at < len(model.arcs) and model.arcs[at] == key:
-            return 10 ** model.cost[at]
         if not history:
-            return 10 ** model.unigram(model.counts)[names.index(w)]
-        return 10 ** model.fail_cost[state[history]] * p(history[1:], w)
-
-    rest = 1 - sum(10 ** model.unigram(model.counts))  # words unseen or out of the vocabulary
-    for history in [(), ("a",), ("b",), (" ",), ("a", "b"), (" ", "a"), ("c",)]:
-        fallen = 1.0
-        h = history
-        while h:
-            state = {("a",): 1 + names.index("a"), ("b",): 1 + names.index("b"), (" ",): 1 + names.index(" "), ("c",): 1 + names.index("c")}.get(h)
-            if state is None:
-                state = model.size + sorted([("a", "b"), (" ", "a")], key=lambda g: [names.index(x) for x in g]).index(h)
-            fallen *= 10 ** model.fail_cost[state]
-            h = h[1:]
-        assert abs(sum(p(history, w) for w in names) + fallen * rest - 1) < 1e-9
-    rng = random.Random(2)
-    for _ in range(50):
-        text = [*rng.choices("abc", k=rng.randrange(0, 12)), " "]
-        history, expected = (" ",), 0.0
-        for w in text:
-            expected += math.log10(p(history, w))
-            history = (*history, w)[-2:] if w != " " else (" ",)
-        ids = np.array([names.index(w) for w in text])
-        assert abs(model.traverse(ids, np.array([len(ids)]))[0] - expected) < 1e-9
-
-
-def test_lm_score_is_that_of_the_automaton_with_every_ngram_that_occurs_twice(docs):
-    rows = [(r["doc_id"], r["text"], r["ok"]) for r in docs.select("doc_id", "text", (~lm.held_out("doc_id", 7, 2)).alias("ok")).collect()]
-    tokens = {k: [*words(lowered(t)), " "] for k, (_, t, _) in enumerate(rows)}
-    one, longer = collections.Counter(), collections.Counter()
-    for k, (_, _, ok) in enumerate(rows):
-        if ok:
-            one.update(tokens[k])
-            led = [" ", *tokens[k]]
-            longer.update("\t".join(led[i : i + n]) for n in (2, 3) for i in range(len(led) - n + 1))
-    model = lm.build(sorted({" ": 0, **one}.items()), [(g, n) for g, n in longer.items() if n >= 2], sum(one.values()), len(one))
+            return (counts[w] + 1) / (total + distinct + 1)
+        k = lm.KAPPA[len(history) - 1]
+        held = counts[history[0]] if len(history) == 1 else longer[history]
+        return (longer[(*history, w)] + k * p(history[1:], w)) / (held + k)
+
     expected = []
-    for k, (i, _, _) in enumerate(rows):
-        codes = model.codes(pa.array(tokens[k]))
-        unseen = (codes < 0).sum() * float(model.unigram(np.zeros(1))[0])
-        expected.append((str(i), len(tokens[k]), model.traverse(codes, np.array([len(codes)]))[0] + unseen))
-    for vocabulary in (1 << 20, 40):
-        found = sorted((str(r["id"]), r["n_tokens"], r["score"]) for r in lm.BackoffScorer(vocabulary).score(docs, ~lm.held_out("doc_id", 7, 2)).collect())
-        assert len(found) == len(expected)
-        for f, e in zip(found, sorted(expected), strict=True):
-            assert f[:2] == e[:2] and abs(f[2] - e[2]) < 1e-6 * max(1, abs(e[2]))
+    for i, t, ok in rows:
+        w = [*words(lowered(t)), " "]
+        led = [" ", *w]
+        score = sum(math.log10(p(tuple(led[max(0, k - 1) : k + 1]), x)) for k, x in enumerate(w))
+        expected.append((str(i), ok, len(w), sum(counts[x] > 0 for x in w), total, round(sum(math.log10(p((), x)) for x in w), 6), score))
+    found = lm.BackoffScorer(slice_bytes=sizes[0], part_bytes=sizes[1]).score(docs, ~lm.held_out("doc_id", 7, 2)).collect()
+    found = sorted((str(r["id"]), r["learnt"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6), r["score"]) for r in found)
+    assert len(found) == len(expected)
+    for f, e in zip(found, sorted(expected), strict=True):
+        assert f[:6] == e[:6] and abs(f[6] - e[6]) < 1e-7 * max(1, abs(e[6]))
+
+
+def test_lm_automaton_is_a_distribution():
+    """For each context the probabilities of all words, and of one unseen word for the rest, add up to one."""
+    grams = lm.Grams(pa.array(["a b c", "a b b", "b c", "c a b c", "a a a"]))
+    counts = grams.counts(np.ones(5, bool))
+    tokens, distinct = int(counts[0].sum()), int((counts[0] > 0).sum())
+    known = [dict(zip(k.tolist(), n.tolist(), strict=True)) for k, n in zip(grams.keys, counts, strict=True)]
+
+    def score(text):
+        own = lm.Grams(pa.array([text]))
+        model = lm.build(own, [np.array([known[o].get(x, 0) for x in k.tolist()], np.int64) for o, k in enumerate(own.keys)], tokens, distinct)
+        # without the end, whose own cost is that of the text less that of its words
+        ends = np.array([own.ends[0] - 1])
+        return model.traverse(ends)[0], model.traverse(own.ends)[0] - model.traverse(ends)[0]
+
+    for history in ["", "a", "b", "c", "a b", "b c", "c a", "c c", "a b c", "a zz"]:
+        before = score(history)[0] if history else 0.0
+        after = [score(f"{history} {w}".strip())[0] - before for w in ("a", "b", "c", "unseen")]
+        assert abs(sum(10**x for x in [*after, score(history)[1] if history else score("")[1]]) - 1) < 1e-9
+
+
+def test_lm_learns_more_than_unigrams(spark):
+    """Held-out texts are likelier under the automaton than under its unigrams."""
+    found = lm.BackoffScorer().score(table(spark, "/root/testdata/sf0.01", "documents"), ~lm.held_out("doc_id", 7, 2))
+    held = found.where(~F.col("learnt")).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[0] / held[2] > held[1] / held[2] + 0.3
+
+
+def test_lm_traverse_in_step_equals_one_by_one(monkeypatch, spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").toArrow().column("text").combine_chunks()
+    grams = lm.Grams(texts)
+    counts = grams.counts(np.arange(len(texts)) % 3 > 0)
+    model = lm.build(grams, counts, int(counts[0].sum()), int((counts[0] > 0).sum()))
+    found = []
+    for few in (0, 16, 1 << 30):
+        monkeypatch.setattr(lm, "FEW", few)
+        found.append(model.traverse(grams.ends))
+    assert np.allclose(found[0], found[1]) and np.allclose(found[0], found[2])
 
 
 # toxicity and quality
