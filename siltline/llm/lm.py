@@ -34,7 +34,7 @@ from siltline.llm.text import mixed, slices, split_words, word_hashes
 from siltline.session import ship, written
 
 #: Text of one slice, and text whose n-grams are counted in one partition, about.
-SLICE, PART_BYTES = 12 << 20, 24 << 20
+SLICE, PART_BYTES = 8 << 20, 16 << 20
 #: Stands for the end of a text, and for what comes before its first word; no word holds a space.
 END = " "
 #: Weight of the shorter context's distribution, in tokens, for bigrams and trigrams.
@@ -66,7 +66,8 @@ class Grams:
         at, words = split_words(texts, lower=True)
         coded = words.dictionary_encode()
         self.end = len(coded.dictionary)
-        self.code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), at[1:], self.end)
+        del words
+        self.code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), at[1:], self.end)
         self.ends = at[1:] + np.arange(1, len(at))
         x = word_hashes(pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)]))
         first = np.zeros(len(self.code), bool)
@@ -76,13 +77,14 @@ class Grams:
         two = _pair(x[before], h)
         later = np.flatnonzero(~first)
         three = _pair(two[later - 1], h[later])
+        del h, before
         some = np.arange(self.end + 1) if len(self.code) else np.zeros(0, np.int64)
         one, place = np.unique(x[some], return_inverse=True)
         two, inner = np.unique(two >> np.uint64(64 - BITS[1]), return_inverse=True)
         three, third = np.unique(three >> np.uint64(64 - BITS[2]), return_inverse=True)
-        trigram = np.full(len(self.code), -1, np.int64)
+        trigram = np.full(len(self.code), -1, np.int32)
         trigram[later] = third
-        self.first, self.keys, self.which = first, (one, two, three), (place[self.code], inner, trigram)
+        self.keys, self.which = (one, two, three), (place.astype(np.int32)[self.code], inner.astype(np.int32), trigram)
 
     @property
     def doc(self) -> np.ndarray:
@@ -136,6 +138,12 @@ def _row(bucket: int, key: int, kind: int, blob: bytes) -> list:
     return [pa.array([bucket], pa.int32()), pa.array([key], pa.int64()), pa.array([kind], pa.int32()), pa.array([blob], pa.binary())]
 
 
+def _each(batch: pa.RecordBatch, *names: str):
+    """Rows, one at a time, as blobs are large."""
+    for i in range(batch.num_rows):
+        yield tuple(batch.column(c)[i].as_py() for c in names)
+
+
 def _asks(batches, size: int, parts: int):
     """Rows of ASKS: the n-grams of each slice, by bucket: hashes (as differences) and counts of each order."""
     names = [c.split()[0] for c in ASKS.split(", ")]
@@ -157,8 +165,8 @@ def _answers(batches):
     names = [c.split()[0] for c in ASKS.split(", ")]
     asked: dict[int, list[tuple[int, bytes]]] = {}
     for b in batches:
-        for bucket, key, blob in zip(b.column("bucket").to_pylist(), b.column("slice").to_pylist(), b.column("blob").to_pylist(), strict=True):
-            asked.setdefault(bucket, []).append((key, blob))
+        for row in _each(b, "bucket", "slice", "blob"):
+            asked.setdefault(row[0], []).append(row[1:])
     for bucket, some in asked.items():
         answers: list[list[bytes]] = [[] for _ in some]
         tokens = distinct = 0
@@ -267,6 +275,7 @@ def build(grams: Grams, counts: list[np.ndarray], tokens: int, distinct: int, ka
     """The automaton restricted to the n-grams of a slice; counts: over the whole training texts, in the order of grams.keys."""
     n1, n2, n3 = counts
     words = len(n1)
+    n1, n2, n3 = (n.astype(float) for n in counts)
     one = (n1 + 1) / (tokens + distinct + 1)
     place, bigram, trigram = grams.which
     at2, at3 = _firsts(bigram, len(n2)), _firsts(trigram, len(n3))
@@ -304,7 +313,7 @@ def _scores(batches, size: int, tokens: int, distinct: int, kappa: tuple[float,
     held: list[bytes] = []
     now = None
     for b in batches:
-        for key, kind, blob in zip(b.column("slice").to_pylist(), b.column("kind").to_pylist(), b.column("blob").to_pylist(), strict=True):
+        for key, kind, blob in _each(b, "slice", "kind", "blob"):
             if key != now:
                 held, now = [], key
             if kind == 0:
