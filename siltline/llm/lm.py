@@ -41,6 +41,8 @@ END = " "
 KAPPA = (1000.0, 8.0)
 #: Bits of the hashes of words, bigrams and trigrams.
 BITS = (64, 56, 56)
+#: Tokens that are hashed at once.
+CHUNK = 1 << 16
 #: Texts that are traversed in step; the last few go one by one.
 FEW = 16
 
@@ -55,36 +57,50 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return mixed(mixed(a) * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
+def _ranked(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted different values, rank of each value), with small work arrays."""
+    order = np.argsort(values).astype(np.int32)
+    values = values[order]
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    rank = np.empty(len(values), np.int32)
+    rank[order] = np.cumsum(new, dtype=np.int32) - 1
+    return values[new], rank
+
+
 class Grams:
     """The n-grams of a slice of texts; every text ends with END, and END leads it as a context.
 
     keys[k]: sorted different hashes of order k + 1; which[k]: by token, the n-gram that ends with it (-1: trigrams of
-    first tokens); ends: by text; code: by token, END is the last code.
+    first tokens); ends: by text.
     """
 
     def __init__(self, texts: pa.Array):
         at, words = split_words(texts, lower=True)
         coded = words.dictionary_encode()
-        self.end = len(coded.dictionary)
         del words
-        self.code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), at[1:], self.end)
+        end = len(coded.dictionary)
+        code = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32), at[1:], end)
         self.ends = at[1:] + np.arange(1, len(at))
         x = word_hashes(pa.concat_arrays([coded.dictionary, pa.array([END], coded.dictionary.type)]))
-        first = np.zeros(len(self.code), bool)
+        del coded
+        one, place = _ranked(x if len(code) else x[:0])
+        first = np.zeros(len(code), bool)
         first[np.concatenate([[0], self.ends[:-1]])[: len(self.ends)]] = True
-        before = np.concatenate([[self.end], self.code[:-1]])[: len(self.code)]
-        h = x[self.code]
-        two = _pair(x[before], h)
-        later = np.flatnonzero(~first)
-        three = _pair(two[later - 1], h[later])
-        del h, before
-        some = np.arange(self.end + 1) if len(self.code) else np.zeros(0, np.int64)
-        one, place = np.unique(x[some], return_inverse=True)
-        two, inner = np.unique(two >> np.uint64(64 - BITS[1]), return_inverse=True)
-        three, third = np.unique(three >> np.uint64(64 - BITS[2]), return_inverse=True)
-        trigram = np.full(len(self.code), -1, np.int32)
-        trigram[later] = third
-        self.keys, self.which = (one, two, three), (place.astype(np.int32)[self.code], inner.astype(np.int32), trigram)
+        h = x[code]
+        two, three = np.empty(len(code), np.uint64), np.empty(len(code), np.uint64)
+        for lo in range(0, len(code), CHUNK):
+            some = np.s_[lo : lo + CHUNK]
+            two[some] = _pair(np.where(first[some], x[end], np.concatenate([h[lo - 1 : lo] if lo else x[end:], h[some][:-1]])), h[some])
+            three[some] = _pair(np.concatenate([two[lo - 1 : lo] if lo else x[end:], two[some][:-1]]), h[some])
+        del h
+        two >>= np.uint64(64 - BITS[1])
+        three >>= np.uint64(64 - BITS[2])
+        two, inner = _ranked(two)
+        three, third = _ranked(three[~first])
+        trigram = np.full(len(code), -1, np.int32)
+        trigram[~first] = third
+        self.keys, self.which = (one, two, three), (place[code], inner, trigram)
 
     @property
     def doc(self) -> np.ndarray:
@@ -275,35 +291,35 @@ def build(grams: Grams, counts: list[np.ndarray], tokens: int, distinct: int, ka
     """The automaton restricted to the n-grams of a slice; counts: over the whole training texts, in the order of grams.keys."""
     n1, n2, n3 = counts
     words = len(n1)
-    n1, n2, n3 = (n.astype(float) for n in counts)
-    one = (n1 + 1) / (tokens + distinct + 1)
+    one = (n1 + 1.0) / (tokens + distinct + 1)
     place, bigram, trigram = grams.which
-    at2, at3 = _firsts(bigram, len(n2)), _firsts(trigram, len(n3))
-    end = place[grams.ends[0] - 1] if len(grams.ends) else 0
-    before = np.concatenate([[end], place[:-1]])[: len(place)]
-    # per bigram: the words; per trigram: its two bigrams
-    u, v = before[at2], place[at2]
+    end = int(place[grams.ends[0] - 1]) if len(grams.ends) else 0
+    # per bigram: its words
+    at = _firsts(bigram, len(n2))
+    u, v = np.where(at > 0, place[at - 1], end).astype(np.int32), place[at]
     p2 = (n2 + kappa[0] * one[v]) / (n1[u] + kappa[0])
-    context = (n2 > 0) & (v != end)
-    state2 = np.where(context, 1 + words + np.cumsum(context) - 1, 1 + v)
-    head, tail = bigram[at3 - 1], bigram[at3]
-    p3 = (n3 + kappa[1] * p2[tail]) / (n2[head] + kappa[1])
     has2, has3 = n2 > 0, n3 > 0
-    arc2 = np.where(has2, np.cumsum(has2) - 1, -1)
-    arc3 = np.where(has3, has2.sum() + np.cumsum(has3) - 1, -1)
-    log = np.log10
-    depth = np.concatenate([[0], np.ones(words, np.int64), np.full(context.sum(), 2)])
-    fail = np.concatenate([[0], np.zeros(words, np.int64), 1 + v[context]])
-    fail_cost = np.concatenate([[0.0], log(kappa[0] / (n1 + kappa[0])), log(kappa[1] / (n2[context] + kappa[1]))])
-    arcs = (arc2[bigram] if len(bigram) else bigram, np.where(trigram >= 0, arc3[trigram], -1) if len(n3) else np.full(len(trigram), -1))
+    context = has2 & (v != end)
+    state2 = np.where(context, words + np.cumsum(context, dtype=np.int32), 1 + v).astype(np.int32)
+    arc2 = np.where(has2, np.cumsum(has2, dtype=np.int32) - 1, -1).astype(np.int32)
+    # per trigram: its two bigrams
+    at = _firsts(trigram, len(n3))
+    head, tail = bigram[at - 1], bigram[at]
+    p3 = ((n3 + kappa[1] * p2[tail]) / (n2[head] + kappa[1]))[has3]
     target = np.concatenate([state2[has2], state2[tail[has3]]])
-    return Automaton(depth, fail, fail_cost, np.concatenate([log(p2[has2]), log(p3[has3])]), target, arcs, log(one)[place], 1 + place, 1 + int(end))
+    del at, u, head, tail, state2
+    arc3 = np.append(np.where(has3, has2.sum() + np.cumsum(has3, dtype=np.int32) - 1, -1), -1).astype(np.int32)  # the last is that of no trigram
+    depth = np.concatenate([[0], np.ones(words, np.int8), np.full(context.sum(), 2, np.int8)]).astype(np.int8)
+    fail = np.concatenate([np.zeros(1 + words, np.int32), 1 + v[context]])
+    fail_cost = np.concatenate([[0.0], np.log10(kappa[0] / (n1 + kappa[0])), np.log10(kappa[1] / (n2[context] + kappa[1]))])
+    cost = np.log10(np.concatenate([p2[has2], p3]))
+    return Automaton(depth, fail, fail_cost, cost, target, (arc2[bigram], arc3[trigram]), np.log10(one)[place], 1 + place, 1 + end)
 
 
 def _firsts(which: np.ndarray, size: int) -> np.ndarray:
     """A token of each n-gram."""
-    out = np.zeros(size, np.int64)
-    some = np.flatnonzero(which >= 0)
+    out = np.zeros(size, np.int32)
+    some = np.flatnonzero(which >= 0).astype(np.int32)
     out[which[some]] = some
     return out
 
@@ -323,13 +339,14 @@ def _scores(batches, size: int, tokens: int, distinct: int, kappa: tuple[float,
                 rows = pa.Table.from_batches(list(source)).combine_chunks().to_batches()[0]
             grams = Grams(rows.column("t"))
             opened = [_unpacked(x) for x in held]
-            counts = [np.concatenate([np.zeros(0, np.int64), *(_unplaned(o[k], 4 if k else 8).astype(np.int64) for o in opened)]) for k in range(len(BITS))]
+            counts = [np.concatenate([np.zeros(0, np.uint32 if k else np.uint64), *(_unplaned(o[k], 4 if k else 8) for o in opened)]) for k in range(len(BITS))]
             if [len(c) for c in counts] != [len(k) for k in grams.keys]:
                 raise RuntimeError("the texts came in another order: give a scan or a checkpoint")
             del opened
             model = build(grams, counts, tokens, distinct, kappa)
             starts = np.concatenate([[0], grams.ends[:-1]])
             known = np.add.reduceat((counts[0] > 0)[grams.which[0]].astype(np.int64), starts)
+            del counts
             base = np.add.reduceat(model.root_cost, starts)
             yield pa.RecordBatch.from_arrays(
                 [rows.column("id"), rows.column("learnt"), pa.array(np.diff(grams.ends, prepend=0)), pa.array(known), pa.array(np.full(len(known), tokens)), pa.array(base), pa.array(model.traverse(grams.ends))],
