@@ -2,10 +2,13 @@
 
 Over each document slide windows of the size of each benchmark item. A window's fingerprint is the
 256-bit SimHash of its five-word shingles, repeats included. Fingerprints are looked up in a
-multi-index: 16 blocks of 16 bits; two fingerprints within RADIUS = 62 bits share a block within
-62 // 16 = 3 bits, so the blocks guarantee every item within the radius. Candidates are verified by the
+multi-index: 16 blocks of 16 bits; two fingerprints within RADIUS = 80 bits share a block within
+80 // 16 = 5 bits, so the blocks guarantee every item within the radius. Candidates are verified by the
 exact similarity of weighted shingles (weight: how often it occurs), sum of minima over sum of maxima.
-At similarity 0.8 fingerprints differ in 38 bits on average, with a deviation below 6.
+
+Without repeats, at similarity 0.8 fingerprints differ in 39 bits on average with a deviation below 6, and in 48 with
+one of 6.3 at worst (4 shingles against 5), so RADIUS is five deviations beyond or more. Repeats widen the angle without bound: a window
+or items of a size in which a shingle repeats are looked up by their shingles instead (Postings), which is exact.
 
 A window is fingerprinted only if enough of its shingles occur in items of its size to reach the
 similarity at all; that bound is exact.
@@ -24,12 +27,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.substring import _ODD, _Rolling
-from siltline.llm.text import mixed, slices, split_words, word_hashes
+from siltline.llm.text import LANES, Rolling, slices, split_words, wide_simhash, word_hashes
 from siltline.session import ship, written
 
-SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 62, 16
-LANES = 4
+SHINGLE, SIMILARITY, RADIUS, BLOCKS = 5, 0.8, 80, 16
 #: Items are broadcast in blocks of so many bytes of text at most; each block is one pass over the documents.
 BLOCK_BYTES = 16 << 20
 EDGE = ".,;:!?()[]{}<>\"'`|"
@@ -48,17 +49,6 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return at, words
 
 
-def simhash(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, as LANES words, of shingle hashes."""
-    out = np.zeros(LANES, np.uint64)
-    with np.errstate(over="ignore"):
-        for lane in range(LANES):
-            h = mixed(shingles + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[lane] = np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
-
-
 def similarity(one: Counter, two: Counter) -> float:
     shared = sum(min(n, two[k]) for k, n in one.items() if k in two)
     return shared / (one.total() + two.total() - shared) if one or two else 0.0
@@ -89,6 +79,26 @@ class MultiIndex:
         return out
 
 
+class Postings:
+    """Items of one size by their shingles; lookup() finds all of a similarity, by exact sums of minima."""
+
+    def __init__(self, counts: list[Counter], prints: np.ndarray):
+        self.prints = prints
+        rows = sorted((shingle, i, n) for i, c in enumerate(counts) for shingle, n in c.items())
+        self.shingles = np.array([r[0] for r in rows], np.uint64)
+        self.items, self.times = (np.array([r[k] for r in rows], np.int64) for k in (1, 2))
+        self.totals = np.array([c.total() for c in counts], np.int64)
+
+    def lookup(self, fingerprint: np.ndarray, shingles: np.ndarray, times: np.ndarray) -> list[tuple[int, int]]:
+        """(index, differing bits) of all items at SIMILARITY or more to a window of those different shingles."""
+        lo, hi = (np.searchsorted(self.shingles, shingles, side=s) for s in ("left", "right"))
+        n = hi - lo
+        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        shared = np.bincount(self.items[at], np.minimum(self.times[at], np.repeat(times, n)), len(self.totals))
+        found = np.flatnonzero(shared >= SIMILARITY * (self.totals + times.sum() - shared) - 1e-9)
+        return [(int(i), int(np.bitwise_count(self.prints[i] ^ fingerprint).sum())) for i in found]
+
+
 class Items:
     """Benchmark items of one block, by their number of words. Items of equal words are one, named by the least id, null only if all are; items without words are left out."""
 
@@ -103,15 +113,19 @@ class Items:
         groups = defaultdict(list)
         for key, h in sorted(by_words.values(), key=lambda x: (x[0] is not None, x[0])):
             groups[len(h)].append((key, shingled(h)))
-        #: by size: ids, shingle counts, index, the shingles of all
-        self.sizes = {n: ([k for k, _ in g], [Counter(s.tolist()) for _, s in g], MultiIndex(np.stack([simhash(s) for _, s in g])), np.unique(np.concatenate([s for _, s in g]))) for n, g in groups.items()}
+        #: by size: ids, shingle counts, index, the shingles of all, postings, whether a shingle repeats in an item
+        self.sizes = {}
+        for n, g in groups.items():
+            counts, prints = [Counter(s.tolist()) for _, s in g], np.stack([wide_simhash(s) for _, s in g])
+            repeats = any(len(c) < c.total() for c in counts)
+            self.sizes[n] = ([k for k, _ in g], counts, MultiIndex(prints), np.unique(np.concatenate([s for _, s in g])), Postings(counts, prints), repeats)
         self.widths = sorted({min(SHINGLE, n) for n in self.sizes})
         self.shingles = {w: np.unique(np.concatenate([x[3] for n, x in self.sizes.items() if min(SHINGLE, n) == w])) for w in self.widths}
 
     def matches(self, hashes: np.ndarray, hits: dict[int, np.ndarray]) -> list[dict]:
         """The best window per item in a document of those word hashes; hits: by width, hashes of all its shingles."""
         found: dict[tuple[int, int], dict] = {}
-        for n, (ids, counts, index, own) in self.sizes.items():
+        for n, (ids, counts, index, own, postings, repeats) in self.sizes.items():
             width = min(SHINGLE, n)
             shingles = hits.get(width)
             if shingles is None or not len(shingles):
@@ -123,7 +137,9 @@ class Items:
             for start in np.flatnonzero(hit[size:] - hit[:-size] >= least).tolist():
                 window = shingles[start : start + size]
                 counted = None
-                for i, bits in index.lookup(simhash(window)):
+                different, times = np.unique(window, return_counts=True)
+                found_here = postings.lookup(wide_simhash(window), different, times) if repeats or len(different) < size else index.lookup(wide_simhash(window))
+                for i, bits in found_here:
                     counted = counted or Counter(window.tolist())
                     alike = similarity(counted, counts[i])
                     best = found.get((n, i))
@@ -136,7 +152,7 @@ class Items:
         out: list[list[dict]] = [[] for _ in range(len(texts))]
         at, words = plain_words(texts)
         hashes = word_hashes(words)
-        rolling = _Rolling(hashes, _ODD[0])
+        rolling = Rolling(hashes)
         doc = np.repeat(np.arange(len(texts)), np.diff(at))
         some: set[int] = set()
         for w in self.widths:
@@ -157,7 +173,7 @@ def isin(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 def shingled(hashes: np.ndarray) -> np.ndarray:
     width = min(SHINGLE, len(hashes))
-    return _Rolling(hashes, _ODD[0]).of(np.arange(len(hashes) - width + 1), width)
+    return Rolling(hashes).of(np.arange(len(hashes) - width + 1), width)
 
 
 def named_by_words(rows: DataFrame) -> DataFrame:

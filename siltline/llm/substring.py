@@ -24,31 +24,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltline.llm.text import mixed, slices, split_words, word_hashes
+from siltline.llm.text import ODD, Rolling, slices, split_words, word_hashes
 from siltline.session import cut, ship, written
 
-_ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
-
-
-class _Rolling:
-    """Hashes of runs of words: polynomials modulo 2**64 over prefix sums."""
-
-    def __init__(self, hashes: np.ndarray, odd: int):
-        with np.errstate(over="ignore"):
-            n = len(hashes) + 1
-            factors = np.full(n, odd, np.uint64)
-            factors[0] = 1
-            power = np.multiply.accumulate(factors)
-            factors[1:] = pow(odd, -1, 1 << 64)
-            self.back = np.multiply.accumulate(factors)
-            self.sums = np.zeros(n, np.uint64)
-            np.cumsum(hashes * power[:-1], out=self.sums[1:])
-
-    def of(self, starts: np.ndarray, words: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mixed((self.sums[starts + words] - self.sums[starts]) * self.back[starts])
-
-
 def owners(run_hashes: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` runs, the place of its least hash (the first of equals)."""
     least = np.lib.stride_tricks.sliding_window_view(run_hashes, width)
@@ -87,7 +65,7 @@ class SubstringDedup:
         hashes = word_hashes(words)
         for i, (lo, hi) in enumerate(pairwise(at.tolist())):
             if hi - lo >= self.window:
-                rolling = _Rolling(hashes[lo:hi], _ODD[0])
+                rolling = Rolling(hashes[lo:hi], ODD[0])
                 yield i, rolling, owners(rolling.of(np.arange(hi - lo - self.run + 1), self.run), self.width)
 
     def anchors(self, docs: DataFrame) -> DataFrame:
@@ -145,7 +123,7 @@ class SubstringDedup:
         marks = refs.groupBy("base").agg(F.collect_list(F.struct("pos", "rplace", "rbase", "first")).alias("refs"))
         return text.join(marks.hint("merge"), "base", "left").mapInArrow(parse, _Rows.SCHEMA)
 
-    def _parse_one(self, base: int, refs: list[dict], rolling: _Rolling, owner: np.ndarray, second: np.ndarray, out: _Rows) -> list[tuple[int, int]]:
+    def _parse_one(self, base: int, refs: list[dict], rolling: Rolling, owner: np.ndarray, second: np.ndarray, out: _Rows) -> list[tuple[int, int]]:
         refs.sort(key=lambda r: r["pos"])
         pos, place, rbase = (np.array([r[k] for r in refs], np.int64) for k in ("pos", "rplace", "rbase"))
         first = np.array([r["first"] for r in refs], bool)
@@ -161,7 +139,7 @@ class SubstringDedup:
         offered = first[mine]
         keep = ~inside | offered
         shown = windows[keep]
-        out.windows(base, shown, rolling.of(shown, self.window), _Rolling(second, _ODD[1]).of(shown, self.window), offered[keep])
+        out.windows(base, shown, rolling.of(shown, self.window), Rolling(second, ODD[1]).of(shown, self.window), offered[keep])
         long = ends - starts >= self.window
         for s, e, r, m in zip(starts[long].tolist(), ends[long].tolist(), blocks[long].tolist(), moved[long].tolist(), strict=True):
             out.span(r, s + m - r, e + m - r)

@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 4 << 20
+#: Odd factors of rolling hashes; words of a wide fingerprint.
+ODD, LANES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), 4
 
 
 def slices(batches, column: str = "text", max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -59,3 +61,33 @@ def word_hashes(words: pa.Array, seed: int = 0) -> np.ndarray:
     known = coded.dictionary.cast(pa.binary()).to_pylist()
     table = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in known), np.uint64, len(known))
     return table[coded.indices.to_numpy(zero_copy_only=False)] if len(known) else np.zeros(0, np.uint64)
+
+
+class Rolling:
+    """Hashes of runs of words: polynomials modulo 2**64 over prefix sums."""
+
+    def __init__(self, hashes: np.ndarray, odd: int = ODD[0]):
+        with np.errstate(over="ignore"):
+            n = len(hashes) + 1
+            factors = np.full(n, odd, np.uint64)
+            factors[0] = 1
+            power = np.multiply.accumulate(factors)
+            factors[1:] = pow(odd, -1, 1 << 64)
+            self.back = np.multiply.accumulate(factors)
+            self.sums = np.zeros(n, np.uint64)
+            np.cumsum(hashes * power[:-1], out=self.sums[1:])
+
+    def of(self, starts: np.ndarray, words: int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mixed((self.sums[starts + words] - self.sums[starts]) * self.back[starts])
+
+
+def wide_simhash(shingles: np.ndarray) -> np.ndarray:
+    """256 bits, as LANES words, of shingle hashes."""
+    out = np.zeros(LANES, np.uint64)
+    with np.errstate(over="ignore"):
+        for lane in range(LANES):
+            h = mixed(shingles + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            out[lane] = np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0]
+    return out

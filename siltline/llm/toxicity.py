@@ -244,4 +244,7 @@ def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name:
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """docs without the rows whose text scores at the threshold or above."""
-    return scored(docs, model, text_col, "toxicity__").where(F.col("toxicity__") < threshold).select(*docs.columns)
+    name = "toxicity__"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return scored(docs, model, text_col, name).where(F.col(name) < threshold).select(*docs.columns)

@@ -41,6 +41,8 @@ def decided(pages: DataFrame, min_bytes: int = 1000, id_col: str = "page_id", ur
     rows = rows.withColumn("digest", F.sha1("payload"))
     long = F.octet_length("payload") >= min_bytes
     newest = rows.where(long).groupBy("digest").agg(F.max("page_id").alias("newest"), F.count("*").alias("n")).where("n > 1").select("digest", "newest")
+    # cut off, so that the join has a plain exchange on both sides and a hot digest can be split
+    newest = cut(newest)
     first = F.col("newest").isNull() | F.col("page_id").eqNullSafe(F.col("newest"))
     return rows.join(newest.hint("merge"), "digest", "left").select(
         "page_id", "url", "payload", "digest", F.when(first, "response").otherwise("revisit").alias("kind"), F.when(~first, F.col("newest")).alias("refers_to")
@@ -119,7 +121,7 @@ class ArchiveWriter:
             self.out.write(self.frames.compress(data))
             return
         self.held.append(data)
-        self.size += min(len(data), SAMPLE_RECORD)
+        self.size += len(data)
         if len(self.held) >= SAMPLES or self.size >= SAMPLE_BYTES:
             self.start()
 

@@ -180,6 +180,32 @@ def test_decontamination_is_alike_in_any_blocks(spark):
     assert rows(decontam.contaminated(docs, benchmark, block_bytes=400)) == whole
 
 
+def test_decontamination_of_repeats(spark):
+    """Shingles that repeat widen the angle of fingerprints beyond any radius; such windows and items are found too."""
+    rng = random.Random(3)
+    items = [(1, "a b a b a b a b a b a b a"), (2, " ".join(f"w{i}" for i in range(104))), (3, "x " * 30), (4, " ".join(f"v{i}" for i in range(40)))]
+    plain = items[1][1].split()
+    texts = ["b a b a b a b a b a b a b", " ".join([*plain[:92], *([plain[91]] * 12)]), "x " * 27, " ".join([*items[3][1].split()[:37], "v36 v36 v36"]), "a b a b c"]
+    texts += [" ".join(rng.choices(["a", "b"], weights=[3, 2], k=60)) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = set()
+    for key, text in enumerate(texts):
+        w = text.split()
+        for i, t in items:
+            item = t.split()
+            n, size = min(5, len(item)), min(len(item), len(w))
+            bag = lambda x: collections.Counter(tuple(x[j : j + n]) for j in range(len(x) - n + 1))  # noqa: B023, E731
+            target = bag(item)
+            for s in range(len(w) - size + 1):
+                window = bag(w[s : s + size])
+                both = (window & target).total()
+                if both and both / (window.total() + target.total() - both) >= 0.8:
+                    expected.add((key, i))
+                    break
+    found = {(r["id"], m["item_id"]) for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect() for m in r["matches"]}
+    assert found == expected and (0, 1) in found
+
+
 def test_decontamination_finds_items_without_an_id(spark, tmp_path):
     from siltline.llm.queries import op3_decontamination
 
@@ -424,8 +450,93 @@ def test_simhash_groups(docs):
     expected = sorted(((i, f"{p:016x}", least.get(group[p])) for i, p in rows), key=str)
     found = simhash.near_duplicates(docs)
     assert sorted((tuple(r) for r in found.select("doc_id", "fingerprint", "component_id").collect()), key=str) == expected
+
+
+def brute_sets(texts, shingle=5):
+    out = []
+    for t in texts:
+        w = words(lowered(t))
+        n = min(shingle, len(w))
+        out.append(frozenset(" ".join(w[i : i + n]) for i in range(len(w) - n + 1)) if n else frozenset())
+    return out
+
+
+def brute_kept(rows, similarity=0.8):
+    """Ids that stay of (id, text) rows: pairs by an index of all shingles, components, the least id of each."""
+    sets = brute_sets([t for _, t in rows])
+    group = {s: s for s in sets}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    index = collections.defaultdict(list)
+    for s in group:
+        for g in s:
+            index[g].append(s)
+    for s in list(group):
+        shared = collections.Counter(id(o) for g in s for o in index[g])
+        names = {id(o): o for g in s for o in index[g]}
+        for k, n in shared.items():
+            o = names[k]
+            if o is not s and n / (len(s) + len(o) - n) >= similarity - 1e-12:
+                group[find(s)] = find(o)
+    least = {}
+    for (i, _), s in zip(rows, sets, strict=True):
+        least.setdefault(find(s), []).append(i)
+    return sorted((min((x for x in v if x is not None), default=None) for v in least.values()), key=str)
+
+
+def near_copies(seed, n=40):
+    """Rows (id, text): families of edited copies, copies, passages that many texts share, short texts."""
+    rng = random.Random(seed)
+    fresh = lambda k: [f"w{rng.randrange(10**6)}" for _ in range(k)]
+    passage, rows = fresh(60), []
+    for _ in range(n):
+        base = fresh(rng.choice([1, 3, 6, 9, 30, 150, 400]))
+        if rng.random() < 0.5:
+            base[rng.randrange(len(base)) : 0] = passage
+        rows.append(base)
+        for _ in range(rng.choice([0, 1, 3, 12])):
+            copy = list(rng.choice([base, rows[-1]]))
+            for _ in range(rng.choice([0, 1, 1, 2, 4, 8])):
+                at = rng.randrange(len(copy) + 1)
+                copy[at : at + rng.randrange(0, 2)] = fresh(rng.randrange(0, 2))
+            rows.append(copy)
+    rng.shuffle(rows)
+    return [(k, " ".join(w).upper() if rng.random() < 0.2 else "  ".join(w)) for k, w in enumerate(rows)]
+
+
+def test_keep_one_of_near_duplicates(docs):
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(least.values())
+    assert kept.columns == docs.columns and sorted((r["doc_id"] for r in kept.collect()), key=str) == brute_kept(pairs(docs))
+
+
+@pytest.mark.parametrize(("seed", "block", "hot"), [(0, 4096, 4096), (1, 8, 6), (2, 4096, 3), (3, 16, 4096)])
+def test_keep_one_loses_no_link(spark, monkeypatch, seed, block, hot):
+    rows = near_copies(seed)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", 5)
+    docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, row__ long, print__ string").repartition(3)
+    kept = simhash.keep_one(docs)
+    assert sorted((r["doc_id"] for r in kept.collect()), key=str) == brute_kept(rows)
+    assert kept.where("row__ != doc_id OR print__ != 'x'").count() == 0 and kept.columns == docs.columns
+
+
+def test_wide_fingerprints_within_the_radius():
+    """Sets at the similarity, of every size, lie within the radius and pass the ring of lanes."""
+    rng = np.random.default_rng(2)
+    for size in [1, 2, 4, 5, 8, 9, 10, 13, 17, 45, 100, 500]:
+        for _ in range(300):
+            a = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            gone = rng.integers(0, size // 9 + 1)
+            more = rng.integers(0, max(1, int(size / 0.8) - size + 1)) if not gone else gone
+            b = np.concatenate([a[gone:], rng.integers(0, 1 << 63, more, dtype=np.uint64)])
+            if simhash.jaccard(np.sort(a), [np.sort(b)])[0] >= 0.8:
+                one, two = simhash.wide_simhash(a), simhash.wide_simhash(b)
+                assert simhash.near(one, len(a), two[None], np.array([len(b)]), 0.8)[0]
 
 
 @pytest.mark.parametrize("block", [4096, 16])
@@ -552,12 +663,7 @@ def test_pipeline_keeps_the_columns_and_its_stages_agree_with_their_operators(sp
         if name != "encoding":
             assert whole.columns == docs.columns
         if name == "near_duplicates":
-            prints = {r["doc_id"]: brute_print(r["text"]) for r in before.collect()}
-            group = brute_groups(set(prints.values()))
-            least = {}
-            for i, p in prints.items():
-                least[group[p]] = min(i, least.get(group[p], i))
-            assert ids[-1] == set(least.values())
+            assert ids[-1] == set(brute_kept(pairs(before)))
         if name == "personal_data":
             assert not any(pii.find(r["text"]) for r in whole.collect() if "<" not in r["text"])
     assert ids[0] >= ids[1] >= ids[2] >= ids[3] == ids[4]
