@@ -21,7 +21,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document of the least doc_id stays."""
+    """Of documents that similarity 0.8 of five-word shingle sets connects, that of the least doc_id stays."""
     return simhash.keep_one(docs)
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siltline.operators import fold, rank, tree
 from siltline.operators.graph import connected_components
 from siltline.plans.registry import BLOCKS, blocks, query
-from siltline.session import table
+from siltline.session import cut, table
 
 
 def _events(spark, sf_dir):
@@ -132,8 +132,8 @@ def majority_vote_placement(spark, sf_dir):
 def cluster_components(spark, sf_dir):
     """Roots (orders) that share a key (a part bought at the same line) belong together. Hot keys are stars towards their least member, not pairs."""
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("root"), F.concat_ws(":", "l_partkey", "l_linenumber").alias("key"))
-    least = rows.groupBy("key").agg(F.min("root").alias("least"))
-    found = connected_components(rows.join(least, "key").select("root", "least"), "root", "least")
+    least = cut(rows.groupBy("key").agg(F.min("root").alias("least")))
+    found = connected_components(rows.join(least.hint("merge"), "key").select("root", "least"), "root", "least")
     return found.groupBy("component").agg(F.count("*").alias("roots"), F.max("node").alias("last"))
 
 
