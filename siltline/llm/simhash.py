@@ -39,6 +39,8 @@ SKETCH, SMALL = 12, 16
 HOT, SPARE = 4096, 9
 #: Bytes of shingle sets compared in one block; rows that are broadcast at most (of one long each).
 SET_BYTES, BROADCAST_ROWS = 8 << 20, 1 << 20
+#: Links that a task holds before it contracts them.
+LINKS = 1 << 18
 #: Buckets above this many fingerprints are compared block by block.
 BLOCK = 4096
 
@@ -219,33 +221,43 @@ def near(one: np.ndarray, size: int, prints: np.ndarray, sizes: np.ndarray, simi
     The ring has a segment per lane. Of two fingerprints within the radius some start has every chain of l lanes within
     l / LANES of it; the chain of all lanes is the full check.
     """
-    ok = np.minimum(sizes, size) >= similarity * np.maximum(sizes, size) - 1e-9
-    lanes = np.bitwise_count(prints ^ one).astype(np.int64)
-    radius = np.where(np.minimum(sizes, size) < SMALL, radius_of(similarity, 0), radius_of(similarity))
-    some = np.zeros(len(prints), bool)
+    fewest = np.minimum(sizes, size)
+    some = np.flatnonzero(fewest >= similarity * np.maximum(sizes, size) - 1e-9)
+    lanes = np.bitwise_count(prints[some] ^ one)
+    radius = np.where(fewest[some] < SMALL, radius_of(similarity, 0), radius_of(similarity))
+    # the first segment of a start is within its share: that prunes nearly all
+    first = lanes.min(1, initial=64) * LANES <= radius
+    some, lanes, radius = some[first], lanes[first].astype(np.int64), radius[first]
+    passed = np.zeros(len(some), bool)
     for start in range(LANES):
-        held, chain = np.ones(len(prints), bool), np.zeros(len(prints), np.int64)
+        held, chain = np.ones(len(some), bool), np.zeros(len(some), np.int64)
         for n in range(1, LANES + 1):
             chain += lanes[:, (start + n - 1) % LANES]
             held &= chain * LANES <= radius * n
-        some |= held
-    return ok & some
+        passed |= held
+    out = np.zeros(len(prints), bool)
+    out[some[passed]] = True
+    return out
 
 
 def forest(prints: np.ndarray, sizes: np.ndarray, similarity: float, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest, as places, of the pairs that pass near() and, with sets, have that similarity; breadth-first, so a dense group empties the rest at once."""
     rest, links = np.arange(len(prints)), []
+    left, size = prints, sizes
     while len(rest):
-        queue, rest = [int(rest[0])], rest[1:]
+        queue = [(int(rest[0]), left[0], int(size[0]))]
+        rest, left, size = rest[1:], left[1:], size[1:]
         while queue and len(rest):
-            one = queue.pop()
-            found = rest[near(prints[one], int(sizes[one]), prints[rest], sizes[rest], similarity)]
+            one, fingerprint, n = queue.pop()
+            found = np.flatnonzero(near(fingerprint, n, left, size, similarity))
             if sets is not None and len(found):
-                found = found[jaccard(sets[one], [sets[i] for i in found]) >= similarity - 1e-12]
+                found = found[jaccard(sets[one], [sets[i] for i in rest[found]]) >= similarity - 1e-12]
             if len(found):
-                links += [(one, int(x)) for x in found]
-                queue += found.tolist()
-                rest = np.setdiff1d(rest, found, assume_unique=True)
+                links += [(one, int(x)) for x in rest[found]]
+                queue += [(int(rest[i]), left[i], int(size[i])) for i in found]
+                stay = np.ones(len(rest), bool)
+                stay[found] = False
+                rest, left, size = rest[stay], left[stay], size[stay]
     return links
 
 
@@ -291,10 +303,10 @@ def sketched(docs: DataFrame, text_col: str, shingle: int) -> DataFrame:
 
 
 def _grouped(df: DataFrame, columns: list[str], handle, schema: str) -> DataFrame:
-    """handle(rows of one (key, part): a list of columns' values) per group of a partition, as rows (src, dst)."""
+    """handle(rows of one (key, part): a list of columns' values) per group of a partition, as rows (src, dst): the links of a task, contracted."""
 
     def run(batches):
-        last, held = None, []
+        last, held, links = None, [], []
         for b in batches:
             at = list(zip(b.column("key").to_pylist(), b.column("part").to_pylist(), strict=True))
             cuts = [0, *(i for i in range(1, len(at)) if at[i] != at[i - 1]), len(at)]
@@ -303,15 +315,39 @@ def _grouped(df: DataFrame, columns: list[str], handle, schema: str) -> DataFram
                     continue
                 if at[lo] != last:
                     if held:
-                        yield _pairs(handle(pa.Table.from_batches(held)))
+                        links += handle(pa.Table.from_batches(held))
                     last, held = at[lo], []
+                    if len(links) > LINKS:
+                        yield _signed(stars(links))
+                        links = []
                 held.append(b.slice(lo, hi - lo))
         if held:
-            yield _pairs(handle(pa.Table.from_batches(held)))
+            links += handle(pa.Table.from_batches(held))
+        yield _signed(stars(links))
 
     return df.select("key", "part", *columns).repartition("key", "part").sortWithinPartitions("key", "part").mapInArrow(run, schema)
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The components of links as stars: each node with the least of its component."""
+    group: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while group.setdefault(x, x) != x:
+            group[x] = x = group[group[x]]
+        return x
+
+    for a, b in links:
+        a, b = find(int(a)), find(int(b))
+        group[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(group) if group[x] != x]
+
+
+def _signed(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    both = np.array(links, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], ["src", "dst"])
+
+
 def _dealt(rows: DataFrame, blocks: F.Column) -> DataFrame:
     """rows with a part: groups of several blocks are dealt as pairs of blocks, each small."""
     mine = F.pmod(F.xxhash64("row"), blocks).cast("int")
@@ -350,7 +386,7 @@ def similar_rows(marked: DataFrame, text_col: str, shingle: int, similarity: flo
 
     ship(marked.sparkSession)
     dealt = _dealt(shared, F.ceil(F.col("count") / BLOCK).cast("int"))
-    classes = cut(connected_components(_grouped(dealt, ["row", "size", "print"], loose, "src long, dst long").distinct()))
+    classes = cut(connected_components(_grouped(dealt, ["row", "size", "print"], loose, "src long, dst long")))
     members = nodes.select("row", "size", "print").join(classes.select(F.col("node").alias("row"), F.col("component").alias("key")), "row")
     weights = cut(members.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.col("size").cast("long") * 8).alias("bytes")))
 
@@ -370,7 +406,7 @@ def similar_rows(marked: DataFrame, text_col: str, shingle: int, similarity: flo
         return [(row[order[a]], row[order[b]]) for a, b in found]
 
     dealt = _dealt(members.join(weights.hint("merge"), "key").join(sets, "row"), F.greatest(F.ceil(F.col("count") / (BLOCK // 4)), F.ceil(F.col("bytes") / SET_BYTES)).cast("int"))
-    linked = cut(connected_components(_grouped(dealt, ["row", "size", "print", "set"], exact, "src long, dst long").distinct()))
+    linked = cut(connected_components(_grouped(dealt, ["row", "size", "print", "set"], exact, "src long, dst long")))
     # back from nodes to rows: equal sets, and nodes that are linked
     named = nodes.select("whole", "size", "print", "n", "row").join(linked.withColumnRenamed("node", "row"), "row", "left").where("n > 1 OR component IS NOT NULL")
     named = cut(named.select("whole", "size", "print", F.coalesce("component", "row").alias("component")))

@@ -83,11 +83,11 @@ class Rolling:
 
 
 def wide_simhash(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, as LANES words, of shingle hashes."""
-    out = np.zeros(LANES, np.uint64)
+    """64 * LANES bits, as LANES words, of shingle hashes: a bit is set if it is in over half of them."""
     with np.errstate(over="ignore"):
-        for lane in range(LANES):
-            h = mixed(shingles + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[lane] = np.packbits(bits * 2 > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+        h = np.stack([mixed(shingles + np.uint64((lane + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for lane in range(LANES)], 1)
+    bits = np.unpackbits(h.view(np.uint8).reshape(len(h), 8 * LANES), axis=1, bitorder="little")
+    total = np.zeros(64 * LANES, np.int64)
+    for lo in range(0, len(bits), 255):
+        total += np.add.reduce(bits[lo : lo + 255], axis=0, dtype=np.uint8)
+    return np.packbits(total * 2 > len(h), bitorder="little").view(np.uint64)
