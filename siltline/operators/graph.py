@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from siltline.session import cut
 
 
+#: Up to so many edges, all those of one node may meet in one task.
+HUB = 1 << 18
+
+
+def _state(edges: DataFrame):
+    return edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 100) -> DataFrame:
     """Rows (node, component): each node of an edge with the least node it reaches.
 
@@ -16,29 +24,31 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     move, with map-side minima; nothing is gathered in one place. Each round is cut by a checkpoint.
     Edges with a null end are ignored, loops keep their node, repeated edges count once. No edges: no rows.
     """
-    all_edges = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
+    # what the edges are made of is computed once
+    all_edges = cut(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u IS NOT NULL AND v IS NOT NULL"))
     lone = all_edges.where("u = v").select("u", "v").distinct()
     now = cut(all_edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    state = _state(now)
     for _ in range(max_rounds):
+        # a hub's rows can be split if the aggregate is cut off from the join, which then has plain exchanges on both
+        # sides; few edges make no hub worth the additional jobs
+        held = cut if state[0] > HUB else lambda df: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        # aggregates are cut off, so that the joins have plain exchanges on both sides and a hub can be split
-        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = cut(both.join(least.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = held(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        large = held(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # large holds (greater, lesser) rows only: the small star of u is over its lesser neighbours
-        least = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = (
-            large.join(least.hint("merge"), "u")
+            large.join(least, "u")
             .select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
             .select("e.*")
             .where("u != v")
             .distinct()
         )
         now = cut(small)
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        before, state = state, _state(now)
         if state == before:
             break
-        before = state
     else:
         raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -5,7 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from siltline import functions as S
-from siltline.operators import checksum, fold, intervals, parity, rank, tree
+from siltline.operators import checksum, fold, graph, intervals, parity, rank, tree
 from siltline.operators.graph import connected_components
 from siltline.sources.rescue import bad_ranges, map_lines
 
@@ -171,3 +171,13 @@ def test_zero_test_reads_whole_texts(spark, tmp_path):
     docs = [(5, "\0" * 64 + "tail"), (10, "\0" * 200), (15, "text"), (11, "text"), (3, "\0")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert rows(zero_test_case(spark, str(tmp_path)), "status", "n") == [("cksum_mismatch", 2), ("ok", 1), ("zeroed", 2)]
+
+
+def test_components_of_a_hub_in_every_plan(spark, monkeypatch):
+    """A third of the edges at one node; with and without the aggregates cut off."""
+    edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1300)] + [(5000 + k, 9999) for k in range(300)] + [(7, 7), (8000, 8000), (None, 3)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    expected = {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1301)} | {k: 5000 for k in [*range(5000, 5300), 9999]} | {8000: 8000}
+    for hub in (1 << 18, 0):
+        monkeypatch.setattr(graph, "HUB", hub)
+        assert {r["node"]: r["component"] for r in graph.connected_components(df).collect()} == expected
