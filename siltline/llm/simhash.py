@@ -36,13 +36,13 @@ CHAIN = [RADIUS * n // SEGMENTS for n in range(1, SEGMENTS + 1)]
 #: Similarity of sets: least hashes that make candidates, set size below which ties matter.
 SKETCH, SMALL = 12, 16
 #: A key in more nodes than HOT is left out for nodes that have SPARE others.
-HOT, SPARE = 4096, 9
+HOT, SPARE = 1024, 9
 #: Bytes of shingle sets compared in one block; rows that are broadcast at most (of one long each).
 SET_BYTES, BROADCAST_ROWS = 8 << 20, 1 << 20
 #: Links that a task holds before it contracts them.
 LINKS = 1 << 18
-#: Buckets above this many fingerprints are compared block by block.
-BLOCK = 4096
+#: Buckets above this many fingerprints are compared block by block; those of sets have smaller blocks.
+BLOCK, SET_BLOCK = 4096, 1024
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
@@ -385,7 +385,7 @@ def similar_rows(marked: DataFrame, text_col: str, shingle: int, similarity: flo
         return [(row[order[a]], row[order[b]]) for a, b in found]
 
     ship(marked.sparkSession)
-    dealt = _dealt(shared, F.ceil(F.col("count") / BLOCK).cast("int"))
+    dealt = _dealt(shared, F.ceil(F.col("count") / SET_BLOCK).cast("int"))
     classes = cut(connected_components(_grouped(dealt, ["row", "size", "print"], loose, "src long, dst long")))
     members = nodes.select("row", "size", "print").join(classes.select(F.col("node").alias("row"), F.col("component").alias("key")), "row")
     weights = cut(members.groupBy("key").agg(F.count("*").alias("count"), F.sum(F.col("size").cast("long") * 8).alias("bytes")))
@@ -405,7 +405,7 @@ def similar_rows(marked: DataFrame, text_col: str, shingle: int, similarity: flo
         found = forest(_prints(held)[order], held.column("size").to_numpy()[order], similarity, [sets[i] for i in order])
         return [(row[order[a]], row[order[b]]) for a, b in found]
 
-    dealt = _dealt(members.join(weights.hint("merge"), "key").join(sets, "row"), F.greatest(F.ceil(F.col("count") / (BLOCK // 4)), F.ceil(F.col("bytes") / SET_BYTES)).cast("int"))
+    dealt = _dealt(members.join(weights.hint("merge"), "key").join(sets, "row"), F.greatest(F.ceil(F.col("count") / SET_BLOCK), F.ceil(F.col("bytes") / SET_BYTES)).cast("int"))
     linked = cut(connected_components(_grouped(dealt, ["row", "size", "print", "set"], exact, "src long, dst long")))
     # back from nodes to rows: equal sets, and nodes that are linked
     named = nodes.select("whole", "size", "print", "n", "row").join(linked.withColumnRenamed("node", "row"), "row", "left").where("n > 1 OR component IS NOT NULL")

@@ -516,7 +516,7 @@ def test_keep_one_of_near_duplicates(docs):
 @pytest.mark.parametrize(("seed", "block", "hot"), [(0, 4096, 4096), (1, 8, 6), (2, 4096, 3), (3, 16, 4096)])
 def test_keep_one_loses_no_link(spark, monkeypatch, seed, block, hot):
     rows = near_copies(seed)
-    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
     monkeypatch.setattr(simhash, "HOT", hot)
     monkeypatch.setattr(simhash, "BROADCAST_ROWS", 5)
     docs = spark.createDataFrame([(i, t, i, "x") for i, t in rows], "doc_id long, text string, row__ long, print__ string").repartition(3)
