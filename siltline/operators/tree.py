@@ -11,7 +11,7 @@ from siltline.session import cut
 def level_walk(roots: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
     """Rows (node, path, depth) from roots (node, path) along edges (parent, child, name).
 
-    One join per level, ended by an empty level. A node is kept at its first level only, so that cycles and shared
+    One join per level, ended by an empty level; nodes deeper than max_depth are an error. A node is kept at its first level only, so that cycles and shared
     subtrees end; of several paths on one level the least stays.
     """
     level = roots.select("node", "path", F.lit(0).alias("depth"))
@@ -20,8 +20,11 @@ def level_walk(roots: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataF
         below = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node"), F.concat_ws("/", "path", "name").alias("path"))
         level = cut(below.groupBy("node").agg(F.min("path").alias("path")).withColumn("depth", F.lit(depth)).join(seen.select("node"), "node", "left_anti"))
         if level.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(level)
+    deeper = level.join(edges, level["node"] == edges["parent"]).select(F.col("child").alias("node")).join(seen.select("node"), "node", "left_anti")
+    if not deeper.isEmpty():
+        raise RuntimeError(f"nodes deeper than {max_depth}")
     return seen
 
 

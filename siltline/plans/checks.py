@@ -42,27 +42,13 @@ def parity_p_xor(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(parity.p_parity(F.col("l_partkey") % 256).alias("p"))
 
 
-def _gf_sql(a: str, b: str) -> str:
-    """a * b in SQL, for the oracle: shift and reduce eight times."""
-    terms, x = [], a
-    for bit in range(8):
-        terms.append(f"(CASE WHEN (({b}) >> {bit}) & 1 = 1 THEN {x} ELSE 0 END)")
-        x = f"t{bit + 1}"
-    steps = ", ".join(f"xor((({'t' + str(i) if i else a}) << 1) & 255, CASE WHEN ({'t' + str(i) if i else a}) & 128 != 0 THEN 29 ELSE 0 END) AS t{i + 1}" for i in range(8))
-    total = terms[0]
-    for t in terms[1:]:
-        total = f"xor({total}, {t})"
-    return f"SELECT *, {steps}, {total} AS product"
-
-
-@query(f"""WITH d AS (SELECT l_orderkey AS k, l_partkey % 256 AS a, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem),
-    e AS (SELECT *, n - i AS e, CAST(CASE WHEN n - i < 8 THEN 1 << CAST(n - i AS INTEGER) ELSE 0 END AS BIGINT) AS b FROM d WHERE n - i < 8), m AS ({_gf_sql('a', 'b')} FROM e)
-    SELECT k, CAST(bit_xor(product) AS BIGINT) AS q FROM m GROUP BY k""")
+@query("""SELECT l_orderkey AS k, CAST(list_reduce(list(l_partkey % 256 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity),
+    (q, a) -> xor(xor((q << 1) & 255, CASE WHEN (q & 128) != 0 THEN 29 ELSE 0 END), a)) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey""")
 def parity_q_gf256(spark, sf_dir):
-    """Q parity of the last eight data columns of each stripe; the last one has exponent 0."""
+    """Q parity of the data columns of each stripe; the last one has exponent 0."""
     group = Window.partitionBy("l_orderkey")
     i = F.row_number().over(group.orderBy(*_ORDER))
-    d = table(spark, sf_dir, "lineitem").withColumn("e", (F.count("*").over(group) - i).cast("int")).where("e < 8")
+    d = table(spark, sf_dir, "lineitem").withColumn("e", (F.count("*").over(group) - i).cast("int"))
     return d.groupBy(F.col("l_orderkey").alias("k")).agg(parity.q_parity(F.col("l_partkey") % 256, F.col("e")).alias("q"))
 
 

@@ -88,7 +88,7 @@ def adjacent_merge_same_reason(spark, sf_dir):
 @query(f"""WITH {RUNS} SELECT volume, first, CAST(sum(CASE WHEN status IN {LOST} THEN count ELSE 0 END) OVER (PARTITION BY volume ORDER BY first) AS BIGINT) AS lost_so_far FROM runs""")
 def prefix_sum_lost(spark, sf_dir):
     lost = F.when(F.col("status") == "cksum_mismatch", F.col("count")).otherwise(0)
-    return runs(spark, sf_dir).select("volume", "first", F.sum(lost).over(Window.partitionBy("volume").orderBy("first")).alias("lost_so_far"))
+    return I.running_sum(runs(spark, sf_dir).select("volume", "first", "status", "count"), "volume", "first", lost, "lost_so_far").select("volume", "first", "lost_so_far")
 
 
 _POINTS = "points AS (SELECT o_custkey % 100 + 1 AS volume, o_orderkey % 1000 AS blkid FROM orders)"

@@ -18,12 +18,13 @@ LOST = ("cksum_mismatch", "zeroed", "no_metadata", "unreadable", "decompress_fai
 MAX_CANDIDATES = 254
 
 
-def candidates(pointers: DataFrame) -> DataFrame:
-    """Rows (volume, blkid, rank, p): pointers (volume, blkid, p, provenance), newest birth first, those of a ring of roots before carved ones; equal ones come once."""
+def candidates(pointers: DataFrame, most: int | None = MAX_CANDIDATES) -> DataFrame:
+    """Rows (volume, blkid, rank, p): pointers (volume, blkid, p, provenance), newest birth first, those of a ring of roots before carved ones; equal ones come once. most: how many of a slot are kept, None for all."""
     key = F.struct("p.vdev", "p.offset", "p.cksum", "p.birth")
     rows = pointers.withColumn("key", F.xxhash64(key)).groupBy("volume", "blkid", "key").agg(F.min_by(F.struct("p", "provenance"), "provenance").alias("x"))
     order = Window.partitionBy("volume", "blkid").orderBy(F.desc("x.p.birth"), F.when(F.col("x.provenance").startswith("ring"), 0).otherwise(1), "key")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= MAX_CANDIDATES).select("volume", "blkid", "rank", F.col("x.p").alias("p"))
+    ranked = rows.withColumn("rank", F.row_number().over(order))
+    return (ranked if most is None else ranked.where(F.col("rank") <= most)).select("volume", "blkid", "rank", F.col("x.p").alias("p"))
 
 
 def with_data(rows: DataFrame, read: Callable[[int, int, int], bytes | None]) -> DataFrame:
@@ -92,11 +93,14 @@ def carve_verdict(volume: DataFrame, roots: DataFrame, done: bool) -> DataFrame:
     return rows.select("volume", verdict.alias("verdict"))
 
 
-def report(runs: DataFrame, entries: DataFrame, top: int = 20) -> str:
-    """Markdown: volumes, then the entries that lost most, and how many more there are. entries: (path, size, recoverable)."""
+def report(runs: DataFrame, entries: DataFrame, top: int = 20, volumes: int = 1000) -> str:
+    """Markdown: the first volumes, then the entries that lost most, and how many more of each there are. entries: (path, size, recoverable)."""
     lines = ["# Recovery report", "", "| volume | blocks | recovered | holes | lost | unknown |", "|---|---:|---:|---:|---:|---:|"]
     # one line per volume: the report is a document for people
-    lines += ["| {volume} | {n_blocks} | {n_recovered} | {n_holes} | {n_lost} | {n_unknown} |".format(**r.asDict()) for r in summary(runs).orderBy("volume").limit(1000).collect()]
+    every = summary(runs)
+    lines += ["| {volume} | {n_blocks} | {n_recovered} | {n_holes} | {n_lost} | {n_unknown} |".format(**r.asDict()) for r in every.orderBy("volume").limit(volumes).collect()]
+    more = every.count() - volumes
+    lines += ["", f"and {more} more volumes"] if more > 0 else []
     hurt = entries.where("recoverable < size")
     lines += ["", "## Files with losses", ""]
     lines += [f"- `{r['path']}`: {r['size'] - r['recoverable']} of {r['size']} bytes" for r in hurt.orderBy(F.desc(F.col("size") - F.col("recoverable")), "path").limit(top).collect()]

@@ -31,10 +31,13 @@ def build_session(app: str = "siltline", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where that setting is absent (tests, a single machine) a temporary folder is set.
+    Where that setting is absent a temporary folder is set on a single machine (tests); on a cluster, where other
+    executors could not read it, that is an error.
     """
     context = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not found:
         found = f"file://{tempfile.gettempdir()}/siltline-{context.applicationId}"
         spark.conf.set("spark.checkpoint.dir", found)

@@ -47,20 +47,39 @@ def write_image(blocks: DataFrame, path: str, size: int, fill: str = "zero", for
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes a table beside the old one and puts it in its place; a failure leaves the old one."""
+    """Writes a table beside the old one and puts it in its place: the old one is moved aside before and deleted after.
+
+    A failure leaves the old table at path, or, between the two moves, under path.old; restore() puts that back.
+    """
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    made, old = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    restore(spark, path)
     df.write.mode("overwrite").parquet(f"{path}.new")
-    store = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store, (made, old, aside) = _paths(spark, f"{path}.new", path, f"{path}.old")
     if store.exists(old):
-        store.delete(old, True)
+        store.rename(old, aside)
     store.rename(made, old)
+    store.delete(aside, True)
+
+
+def restore(spark, path: str) -> None:
+    """Puts a table back that a failed replacement has moved aside."""
+    store, (old, aside) = _paths(spark, path, f"{path}.old")
+    if store.exists(aside):
+        if store.exists(old):
+            store.delete(aside, True)
+        else:
+            store.rename(aside, old)
+
+
+def _paths(spark, *names: str):
+    found = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(n) for n in names]
+    return found[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
 def merge_table(new: DataFrame, path: str, keys: list[str]) -> None:
     """Upsert into a Parquet table: new rows replace those of their key."""
     spark = new.sparkSession
+    restore(spark, path)
     replace_table(upsert(spark.read.parquet(path), new, keys), path)
 
 

@@ -181,3 +181,50 @@ def test_components_of_a_hub_in_every_plan(spark, monkeypatch):
     for hub in (1 << 18, 0):
         monkeypatch.setattr(graph, "HUB", hub)
         assert {r["node"]: r["component"] for r in graph.connected_components(df).collect()} == expected
+
+
+def test_cuts_decide_nothing(spark):
+    """Runs, unions, merges, sums and look-ups are alike for any width of a cut, and no window spans a group."""
+    rng = random.Random(11)
+    blocks = [(v, p, rng.choice("ab") if rng.random() < 0.2 else "a") for v in range(2) for p in range(300) if rng.random() < 0.97]
+    spans = []
+    for g in range(2):
+        for _ in range(60):
+            a = rng.randrange(500)
+            spans.append((g, a, a + rng.randrange(0, 12)))
+    b = spark.createDataFrame(blocks, "v int, p long, s string")
+    i = spark.createDataFrame(spans, "g int, start long, end long")
+    points = spark.createDataFrame([(v, p) for v in range(2) for p in range(-3, 310)], "v int, p long")
+    got = []
+    for cut in (1 << 20, 7, 16):
+        runs = intervals.run_lengths(b, "v", "p", "s", cut)
+        merged = intervals.merge_adjacent(runs.select("v", F.col("first").alias("start"), (F.col("first") + F.col("count")).alias("end"), F.lit("x").alias("k")), "v", ["k"], cut=cut)
+        rows = [
+            runs.select("v", "first", "count", "s"),
+            intervals.coalesce_intervals(i, "g", cut=cut).select("g", "start", "end"),
+            merged.select("v", "start", "end", "k"),
+            intervals.running_sum(runs, "v", "first", F.col("count"), "total", cut).select("v", "first", "total"),
+            intervals.status_at(points, runs, "v", "p", "s", cut=cut),
+        ]
+        got.append([sorted(map(tuple, r.collect())) for r in rows])
+    assert got[0] == got[1] == got[2]
+    expected, last = [], None
+    for v, p, s in blocks:
+        if last and last[0] == v and last[1] + last[2] == p and last[3] == s:
+            last[2] += 1
+        else:
+            last = [v, p, 1, s]
+            expected.append(last)
+    assert got[0][0] == sorted(map(tuple, expected))
+    where = {(v, p): s for v, p, s in blocks}
+    assert got[0][4] == sorted((v, p, where.get((v, p), "no_metadata")) for v in range(2) for p in range(-3, 310))
+
+
+def test_level_walk_says_when_it_ends_early(spark):
+    import pytest
+
+    edges = spark.createDataFrame([(k, k + 1, f"n{k}") for k in range(6)], "parent long, child long, name string")
+    roots = spark.createDataFrame([(0, "")], "node long, path string")
+    assert tree.level_walk(roots, edges, 6).count() == 7
+    with pytest.raises(RuntimeError):
+        tree.level_walk(roots, edges, 5)
