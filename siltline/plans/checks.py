@@ -43,7 +43,7 @@ def parity_p_xor(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey AS k, CAST(list_reduce(list(l_partkey % 256 ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity),
-    (q, a) -> xor(xor((q << 1) & 255, CASE WHEN (q & 128) != 0 THEN 29 ELSE 0 END), a)) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey""")
+    lambda q, a: xor(xor((q << 1) & 255, CASE WHEN (q & 128) != 0 THEN 29 ELSE 0 END), a)) AS BIGINT) AS q FROM lineitem GROUP BY l_orderkey""")
 def parity_q_gf256(spark, sf_dir):
     """Q parity of the data columns of each stripe; the last one has exponent 0."""
     group = Window.partitionBy("l_orderkey")
