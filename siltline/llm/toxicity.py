@@ -1,15 +1,16 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-The bag of a word holds its character n-grams (3 to 5, with marked ends) and the word itself, hashed to buckets.
-The bag's embeddings are averaged and a linear softmax over two classes follows; embeddings and
-softmax are trained jointly in NumPy. A text is as toxic as its most toxic word (multiple-instance
-learning: a toxic text has such a word, a clean one has none), so one insult in a long text is
-not averaged away. Unseen misspellings share n-gram vectors with the words they come from.
+A passage is WINDOW consecutive words (a shorter text is one passage). Its bag holds, word by word, the character
+n-grams (3 to 5, with marked ends) and the word itself, hashed to buckets. The bag's embeddings are averaged and a linear
+softmax over two classes gives the passage's probability; embeddings and softmax are trained jointly in NumPy. A text
+scores what its most toxic passage does (multiple-instance learning: a toxic text has such a passage, a clean one has
+none), so one insult in a long text is not averaged away. Unseen misspellings share n-gram vectors with the words they come from.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,10 @@ BUCKETS, DIM, SIZES = 1 << 16, 8, (3, 4, 5)
 EDGE = ".,;:!?()[]{}<>\"'`#*$%&|_~^+=/\\-"
 
 
+#: Words of a passage; the passages of a clean text that are learnt from, the most toxic ones.
+WINDOW, HARD = 5, 3
+#: Texts whose passages are held at once in training; steps of a round, at least.
+TEXTS, STEPS = 128, 24
 #: Words are cut into bags so many at a time, which bounds the work arrays.
 CHUNK = 1 << 15
 
@@ -68,47 +73,63 @@ def _bags(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class ToxicityModel:
-    """margin: per bucket, the difference of the two class logits; scale and shift calibrate the largest word margin of a text."""
+    """margin: per bucket, the difference of the two class logits that its embedding makes; bias: that of the softmax.
+
+    The average of embeddings and the linear layer commute, so a passage's margin is an average of bucket margins.
+    """
 
     margin: np.ndarray
     bias: float
-    scale: float
-    shift: float
     constant: float | None = None
 
-    def words(self, words: pa.Array) -> np.ndarray:
-        if not len(words):
-            return np.zeros(0, np.float32)
-        out = np.empty(len(words), np.float32)
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(sum of the margins, number) of each word's buckets."""
+        total, size = np.zeros(len(words)), np.zeros(len(words))
         for i in range(0, len(words), CHUNK):
             buckets, ends = _bags(words.slice(i, CHUNK))
             starts = np.concatenate([[0], ends[:-1]])
-            out[i : i + CHUNK] = np.add.reduceat(self.margin[buckets], starts) / (ends - starts) + self.bias
-        return out
+            total[i : i + CHUNK] = np.add.reduceat(self.margin[buckets], starts, dtype=float)
+            size[i : i + CHUNK] = ends - starts
+        return total, size
 
     def score(self, texts: pa.Array) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(texts), self.constant)
         at, words = split_words(texts)
         coded = words.dictionary_encode()
-        found = self.words(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else np.zeros(0)
-        return self.calibrated(largest(found, at))
+        total, size = self.words(coded.dictionary)
+        ids = coded.indices.to_numpy(zero_copy_only=False)
+        margin, first = passages(total[ids], size[ids], at)
+        return softmax(largest(margin + self.bias, first, -30.0))
+
+
+def softmax(margin: np.ndarray) -> np.ndarray:
+    """The second class's probability for a difference of logits."""
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
-    def calibrated(self, margins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * margins + self.shift, -30, 30)))
 
+def passages(total: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(average over each passage, first passage of each text and the end); at: first word of each text and the end."""
+    n = np.diff(at)
+    count = np.where(n > 0, np.maximum(1, n - WINDOW + 1), 0)
+    first = np.concatenate([[0], np.cumsum(count)])
+    start = np.arange(first[-1]) - np.repeat(first[:-1], count) + np.repeat(at[:-1], count)
+    end = np.minimum(start + WINDOW, np.repeat(at[1:], count))
+    sums, sizes = np.concatenate([[0.0], np.cumsum(total)]), np.concatenate([[0.0], np.cumsum(size)])
+    return (sums[end] - sums[start]) / np.maximum(1.0, sizes[end] - sizes[start]), first
 
-def largest(values: np.ndarray, at: np.ndarray, none: float = -8.0) -> np.ndarray:
-    """The largest value of each text, but `none` at least."""
+
+def largest(values: np.ndarray, at: np.ndarray, none: float) -> np.ndarray:
+    """The largest value of each text; `none` for one without."""
     out = np.full(len(at) - 1, none)
     full = np.flatnonzero(np.diff(at))
     if len(full):
-        out[full] = np.maximum(none, np.maximum.reduceat(values, at[full]))
+        out[full] = np.maximum.reduceat(values, at[full])
     return out
 
 
 class _Trainer:
-    """Adam over embeddings and softmax, on bags of words."""
+    """Adam over embeddings and softmax, on the bags of passages."""
 
     def __init__(self, words: pa.Array, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -119,13 +140,15 @@ class _Trainer:
         self.steps = 0
 
     def gathered(self, some: np.ndarray):
-        size = self.ends[some] - self.starts[some]
-        owner = np.repeat(np.arange(len(some)), size)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
-        return self.buckets[self.starts[some][owner] + inner], owner, size
+        """Buckets, their passage, and their number per passage; some: words of each passage, -1 beyond its end."""
+        word, owner = some[some >= 0], np.repeat(np.arange(len(some)), (some >= 0).sum(1))
+        size = self.ends[word] - self.starts[word]
+        inner = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        buckets = self.buckets[np.repeat(self.starts[word], size) + inner]
+        return buckets, np.repeat(owner, size), np.bincount(owner, size, len(some)).astype(np.int64)
 
     def step(self, some: np.ndarray, target: np.ndarray, weight: np.ndarray, rate: float) -> None:
-        """One step on words, with the share of class 1 and the weight of each."""
+        """One step on passages, with the share of class 1 and the weight of each."""
         embed, linear, bias = self.params
         buckets, owner, size = self.gathered(some)
         edges = np.cumsum(size) - size
@@ -153,69 +176,56 @@ class _Trainer:
         embed, linear, bias = self.params
         return embed @ (linear[:, 1] - linear[:, 0]), float(bias[1] - bias[0])
 
-    def of_words(self) -> np.ndarray:
-        margin, bias = self.margins()
-        return np.add.reduceat(margin[self.buckets], self.starts) / (self.ends - self.starts) + bias
+    def of_words(self) -> tuple[np.ndarray, np.ndarray]:
+        margin, _ = self.margins()
+        return np.add.reduceat(margin[self.buckets], self.starts, dtype=float), (self.ends - self.starts).astype(float)
 
 
-def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rounds: int = 6, batch: int = 8192, seed: int = 7) -> ToxicityModel:
-    """Words first, by how often the texts that hold them are toxic; then whole texts by their most toxic words."""
+def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rounds: int = 10, batch: int = 8192, seed: int = 7) -> ToxicityModel:
+    """First passages of one word each, by how often the texts that hold them are toxic; then the passages that score highest: those
+    of toxic texts are toxic, those of clean texts are not."""
     if len(labels) == 0 or labels.min() == labels.max():
-        return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, 1.0, 0.0, float(labels.mean()) if len(labels) else 0.0)
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0, float(labels.mean()) if len(labels) else 0.0)
     rng = np.random.default_rng(seed)
     at, words = split_words(texts)
     coded = words.dictionary_encode()
-    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    n = len(coded.dictionary)
-    pairs = np.unique(np.repeat(np.arange(len(texts)), np.diff(at)) * n + ids)
     del words
-    doc, ids = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32)
-    del pairs
-    at = np.searchsorted(doc, np.arange(len(texts) + 1))
-    held = np.bincount(ids, minlength=n)
-    toxic = np.bincount(ids, labels[doc].astype(float), n) / held
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
+    n = len(coded.dictionary)
+    owner = np.repeat(np.arange(len(texts)), np.diff(at))
+    pairs = np.unique(owner * n + ids)
+    held = np.bincount(pairs % n, minlength=n)
+    toxic = np.bincount(pairs % n, labels[pairs // n].astype(float), n) / held
+    del pairs, owner
     trainer = _Trainer(coded.dictionary, seed)
     for _ in range(epochs):
         for some in np.array_split(rng.permutation(n), max(1, n // batch)):
-            trainer.step(some, toxic[some], np.minimum(held[some], 50).astype(float), 0.02)
-    for _ in range(rounds):
-        margin = trainer.of_words()[ids]
+            trainer.step(some[:, None], toxic[some], np.minimum(held[some], 50).astype(float), 0.02)
+    for k in range(rounds):
+        total, size = trainer.of_words()
         top, clean = [], []
-        for i in range(len(texts)):
-            lo, hi = at[i], at[i + 1]
-            if lo == hi:
-                continue
-            if labels[i]:
-                top.append(ids[lo + int(margin[lo:hi].argmax())])
-            else:
-                most = min(3, hi - lo)
-                clean += ids[lo + np.argpartition(-margin[lo:hi], most - 1)[:most]].tolist()
-        some = np.array(top + clean)
-        if not len(some):
+        for block in range(0, len(texts), TEXTS):
+            inner = at[block : block + TEXTS + 1]
+            some = ids[inner[0] : inner[-1]]
+            margin, first = passages(total[some], size[some], inner - inner[0])
+            for i, (lo, hi) in enumerate(pairwise(first.tolist()), block):
+                if lo == hi:
+                    continue
+                most = min(1 if labels[i] else HARD, hi - lo)
+                best = (np.argpartition(-margin[lo:hi], most - 1)[:most] + at[i]).tolist()
+                (top if labels[i] else clean).extend((b, int(at[i + 1])) for b in best)
+        if not top or not clean:
             break
+        start, stop = np.array(top + clean).T
+        place = start[:, None] + np.arange(WINDOW)
+        some = np.where(place < stop[:, None], ids[np.minimum(place, len(ids) - 1)], -1)
         target = np.repeat([1.0, 0.0], [len(top), len(clean)])
-        weight = np.repeat([1.0, len(top) / max(1, len(clean))], [len(top), len(clean)])
-        order = rng.permutation(len(some))
-        for part in np.array_split(order, max(1, len(order) // 2048)):
-            trainer.step(some[part], target[part], np.maximum(weight[part], 0.2), 0.01)
-    margin, bias = trainer.margins()
-    best = largest(trainer.of_words()[ids], at)
-    scale, shift = logistic(best, labels)
-    return ToxicityModel(margin, bias, scale, shift)
-
-
-def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> tuple[float, float]:
-    """Slope (never negative) and shift of a logistic curve, by damped Newton steps."""
-    a, c = 1.0, 0.0
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(a * x + c, -30, 30)))
-        g, w = p - y, p * (1 - p) + 1e-9
-        grad = np.array([(g * x).sum() + ridge * (a - 1), g.sum() + ridge * c])
-        hess = np.array([[(w * x * x).sum() + ridge, (w * x).sum()], [(w * x).sum(), w.sum() + ridge]])
-        d = np.linalg.solve(hess, grad)
-        d *= min(1.0, 2.0 / max(1e-9, float(np.abs(d).max())))
-        a, c = a - d[0], c - d[1]
-    return max(float(a), 0.0), float(c)
+        weight = np.repeat([1.0, max(0.2, len(top) / len(clean))], [len(top), len(clean)])
+        parts = max(1, len(some) // 1024)
+        for _ in range(-(-STEPS // parts)):
+            for part in np.array_split(rng.permutation(len(some)), parts):
+                trainer.step(some[part], target[part], weight[part], 0.02 if k < rounds // 2 else 0.01)
+    return ToxicityModel(*trainer.margins())
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
@@ -225,7 +235,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id
 
 
 def scored(docs: DataFrame, model: ToxicityModel, text_col: str = "text", name: str = "score") -> DataFrame:
-    """docs with a score from 0 to 1 of each whole text; null and blank texts get that of a text without toxic words.
+    """docs with a score from 0 to 1 of each whole text; null and blank texts have no passage and score next to 0.
 
     An input column of that name is replaced. Without labels of both classes the score is the share of
     toxic ones (0 without labels). Repeated rows and null ids are scored like any other.

@@ -382,6 +382,42 @@ def test_toxicity_rows(docs, spark, sf_dir):
     assert toxicity.without_toxic(docs, model).columns == docs.columns
 
 
+def test_toxicity_score_is_the_softmax_of_averaged_embeddings():
+    """The margins of a model against embeddings averaged over each passage's bag, one passage at a time."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices(["alpha", "betas", "gam", "foul", "Ünï", "x"], k=k)) for k in (1, 2, 4, 5, 6, 30, 0)] + [None]
+    trainer = toxicity._Trainer(pa.array(["alpha", "foul"]))
+    model = toxicity.ToxicityModel(*trainer.margins())
+    embed, linear, bias = trainer.params
+    for text, score in zip(texts, model.score(pa.array(texts)), strict=True):
+        w, best = words(text), 0.0
+        for i in range(max(1, len(w) - toxicity.WINDOW + 1) if w else 0):
+            buckets, _ = toxicity.bags(pa.array(w[i : i + toxicity.WINDOW]))
+            logits = embed[buckets].mean(0) @ linear + bias
+            best = max(best, float(np.exp(logits[1]) / np.exp(logits).sum()))
+        assert abs(score - best) < 1e-5
+
+
+def test_toxicity_and_quality_on_held_out_rows(spark):
+    """Rows whose ids are not learnt from: bounds on accuracy and on the order of scores, and the columns of the queries."""
+    from siltline.llm.queries import op6_toxicity, op9_quality_classifier
+
+    sf = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r for r in table(spark, sf, "labels").collect()}
+    for rows, label in ((op6_toxicity(spark, sf).collect(), "toxic"), (op9_quality_classifier(spark, sf).collect(), "quality")):
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+        assert len(rows) == table(spark, sf, "documents").count()
+        held = [(r, labels[r["doc_id"]][label]) for r in rows if r["held_out"] and r["doc_id"] in labels]
+        score = "score" if label == "toxic" else "tail_probability"
+        good, bad = ([r[score] for r, y in held if y == k] for k in (1, 0))
+        assert len(good) > 20 and len(bad) > 20
+        auc = sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+        assert auc > 0.95, (label, auc)
+        if label == "toxic":
+            assert all(r["predicted"] == (r["score"] >= 0.5) for r in rows)
+            assert sum(r["predicted"] == y for r, y in held) / len(held) > 0.96
+
+
 def test_labelled_sample_passes_over_texts_that_do_not_fit(spark):
     docs = spark.createDataFrame([(k, f"text {k}") for k in range(40)], "doc_id long, text string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
