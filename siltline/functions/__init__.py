@@ -91,3 +91,49 @@ def bit_field(word: Column, low: int, bits: int) -> Column:
 def all_zero(data: Column) -> Column:
     """Whether a binary column holds zero bytes only."""
     return F.length(F.replace(F.hex(data), F.lit("00"), F.lit(""))) == 0
+
+
+def human_seconds(seconds: Column) -> Column:
+    """1h05m, 2m07s or 9s; ? where it is not known."""
+    s = F.floor(seconds).cast("long")
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    hours = F.concat(F.floor(s / 3600).cast("string"), F.lit("h"), two(F.floor(s % 3600 / 60)), F.lit("m"))
+    minutes = F.concat(F.floor(s / 60).cast("string"), F.lit("m"), two(s % 60), F.lit("s"))
+    return F.when(s.isNull(), "?").when(s >= 3600, hours).when(s >= 60, minutes).otherwise(F.concat(s.cast("string"), F.lit("s")))
+
+
+def human_rate(rate: Column, unit: Column) -> Column:
+    """Bytes a second in MB/s, other units as they are."""
+    r = F.coalesce(rate, F.lit(0.0))
+    return F.when(unit == "bytes", F.concat(F.rint(r / 1e6).cast("long").cast("string"), F.lit(" MB/s"))).otherwise(F.concat(F.rint(r).cast("long").cast("string"), F.lit(" "), unit, F.lit("/s")))
+
+
+def destination(text: Column) -> Column:
+    """(host, path) of "host:path"; host is null for local paths, an empty remote path is "."."""
+    local = text.rlike(r"^([A-Za-z]:[\\/]|[/.~\\])")
+    host = F.regexp_extract(text, r"^([^:/\\\s]+):(.*)$", 1)
+    path = F.regexp_extract(text, r"^([^:/\\\s]+):(.*)$", 2)
+    remote = ~local & (host != "")
+    return F.struct(F.when(remote, host).alias("host"), F.when(remote, F.when(path == "", ".").otherwise(path)).otherwise(text).alias("path"))
+
+
+#: Names of block types by code (fixed values of the on-disk format).
+BLOCK_TYPES = (
+    "NONE OBJECT_DIRECTORY OBJECT_ARRAY PACKED_NVLIST PACKED_NVLIST_SIZE BPOBJ BPOBJ_HDR SPACE_MAP_HEADER SPACE_MAP INTENT_LOG DNODE OBJSET DSL_DIR "
+    "DSL_DIR_CHILD_MAP DSL_DS_SNAP_MAP DSL_PROPS DSL_DATASET ZNODE OLDACL PLAIN_FILE_CONTENTS DIRECTORY_CONTENTS MASTER_NODE UNLINKED_SET ZVOL ZVOL_PROP "
+    "PLAIN_OTHER UINT64_OTHER ZAP_OTHER ERROR_LOG SPA_HISTORY SPA_HISTORY_OFFSETS POOL_PROPS DSL_PERMS ACL SYSACL FUID FUID_SIZE NEXT_CLONES SCAN_QUEUE "
+    "USERGROUP_USED USERGROUP_QUOTA USERREFS DDT_ZAP DDT_STATS SA SA_MASTER_NODE SA_ATTR_REGISTRATION SA_ATTR_LAYOUTS SCAN_XLATE DEDUP DEADLIST "
+    "DEADLIST_HDR DSL_CLONES BPOBJ_SUBOBJ"
+).split()
+
+
+def block_type(code: Column) -> Column:
+    """The name of a block type: newtype(n,meta,enc) for codes with bit 7, typeN for unknown ones."""
+    bit = lambda b: code.bitwiseAND(F.lit(b)) != 0
+    flags = F.concat_ws(",", code.bitwiseAND(F.lit(31)).cast("string"), F.when(bit(64), "meta"), F.when(bit(32), "enc"))
+    known = F.try_element_at(F.array(*map(F.lit, BLOCK_TYPES)), (code + 1).cast("int"))
+    return F.when(bit(128), F.concat(F.lit("newtype("), flags, F.lit(")"))).otherwise(F.coalesce(known, F.concat(F.lit("type"), code.cast("string"))))
+
+
+def block_type_valid(code: Column) -> Column:
+    return (code < len(BLOCK_TYPES)) | ((code.bitwiseAND(F.lit(128)) != 0) & (code.bitwiseAND(F.lit(31)) <= 9))

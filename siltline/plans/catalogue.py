@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siltline.plans import checks, coverage, formats, listings, relational  # noqa: F401  (they register themselves)
+from siltline.plans import checks, coverage, extraction, formats, listings, relational  # noqa: F401  (they register themselves)
 from siltline.plans.registry import QUERIES, SQL
 
 

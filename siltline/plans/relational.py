@@ -32,10 +32,11 @@ def semi_cascade(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("entry"), F.col("l_linenumber").alias("slot"), F.col("l_partkey").alias("part"))
 
 
-@query("SELECT c_custkey AS node, c_name AS name FROM customer ANTI JOIN orders ON o_custkey = c_custkey")
+@query("SELECT c_custkey AS node, c_name AS name FROM customer ANTI JOIN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%') o ON o_custkey = c_custkey")
 def anti_orphans(spark, sf_dir):
+    """Customers that no urgent order reaches."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"), F.col("c_name").alias("name"))
-    return tree.orphans(c, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node")))
+    return tree.orphans(c, table(spark, sf_dir, "orders").where("o_orderpriority LIKE '1%'").select(F.col("o_custkey").alias("node")))
 
 
 @query(f"""WITH {EVENTS}, t AS (SELECT event_id, user_id, us FROM ev WHERE event_type = 'purchase'), r AS (SELECT user_id, max(us) AS seq FROM ev WHERE event_type = 'error' GROUP BY user_id)
@@ -273,10 +274,8 @@ def capped_windows_fold(spark, sf_dir):
 @query()
 def batches_on_disk_order(spark, sf_dir):
     """Files of each customer in order, in batches that close once they reach 300000."""
-    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct("o_orderkey", F.floor("o_totalprice").cast("long").alias("size")))).alias("files"))
-    n = fold.closed_batches(F.col("files.size"), 300000)
-    flat = o.select("o_custkey", F.explode(F.arrays_zip(F.col("files.o_orderkey").alias("file"), n.alias("batch"))).alias("x"))
-    return flat.select("o_custkey", F.col("x.file").alias("file"), F.col("x.batch").alias("batch"))
+    files = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("file"), F.floor("o_totalprice").cast("long").alias("size"))
+    return fold.batched(files, "o_custkey", "file", "size", 300000).select("o_custkey", "file", "batch")
 
 
 @query("SELECT l_orderkey AS entry, CAST(bit_or(1 << (l_linenumber - 1)) AS BIGINT) AS present, bit_count(CAST(bit_or(1 << (l_linenumber - 1)) AS BIGINT))::INT AS members FROM lineitem GROUP BY l_orderkey")

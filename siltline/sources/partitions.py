@@ -21,14 +21,21 @@ def _header(read: Read, at: int) -> dict | None:
     size, crc = struct.unpack_from("<II", raw, 12)
     fine = 92 <= size <= len(raw) and zlib.crc32(raw[:16] + bytes(4) + raw[20:size]) == crc
     entries, count, each, entries_crc = struct.unpack_from("<QIII", raw, 72)
-    return {"ok": fine, "backup": struct.unpack_from("<Q", raw, 32)[0], "entries": entries, "count": min(count, MAX_ENTRIES), "each": each, "crc": entries_crc}
+    return {"ok": fine, "backup": struct.unpack_from("<Q", raw, 32)[0], "entries": entries, "count": min(count, MAX_ENTRIES), "all": count, "each": each, "crc": entries_crc}
+
+
+def _checked(read: Read, sector: int, header: dict | None) -> dict | None:
+    """The header, no longer sound if its entries do not have their checksum."""
+    if header and header["ok"]:
+        raw = read(header["entries"] * sector, header["all"] * header["each"]) if header["all"] * header["each"] <= 1 << 24 else b""
+        header["ok"] = zlib.crc32(raw) == header["crc"]
+    return header
 
 
 def guid_table(read: Read, size: int) -> list[tuple] | None:
-    """Partitions of a GUID table; None without one. A header with a wrong checksum gives way to a backup that holds."""
+    """Partitions of a GUID table; None without one. A header or entries with a wrong checksum give way to a backup that holds."""
     for sector in (512, 4096):
-        first = _header(read, sector)
-        last = _header(read, size - sector)
+        first, last = (_checked(read, sector, _header(read, at)) for at in (sector, size - sector))
         chosen = next((h for h in (first, last) if h and h["ok"]), first)
         if chosen is None or not 128 <= chosen["each"] <= 4096:
             continue

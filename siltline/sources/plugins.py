@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import logging
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from importlib.metadata import entry_points
 from typing import Protocol
 
 import pyarrow as pa
@@ -53,22 +55,31 @@ class FileSystem:
 
 #: (offset, bytes, name) of formats that are named but not read (fixed values of the formats).
 SIGNATURES: list[tuple[int, bytes, str]] = [
+    (0, b"XFSB", "xfs"),
     (3, b"NTFS    ", "ntfs"),
     (3, b"EXFAT   ", "exfat"),
-    (54, b"FAT12", "fat12"),
-    (54, b"FAT16", "fat16"),
-    (82, b"FAT32", "fat32"),
-    (0, b"XFSB", "xfs"),
+    (82, b"FAT32   ", "fat32"),
+    (54, b"FAT16   ", "fat16"),
+    (54, b"FAT12   ", "fat12"),
     (0x10040, b"_BHRfS_M", "btrfs"),
-    (0x10034, b"ReIsEr2Fs", "reiserfs"),
+    (0, b"LUKS\xba\xbe", "luks"),
+    (3, b"-FVE-FS-", "bitlocker"),
+    (0x218, b"LVM2 001", "lvm2"),
+    (4086, b"SWAPSPACE2", "linux-swap"),
+    (4086, b"SWAP-SPACE", "linux-swap-old"),
     (0x8001, b"CD001", "iso9660"),
-    (0x400, b"H+\x00\x04", "hfsplus"),
     (0x400, b"\x10\x20\xf5\xf2", "f2fs"),
+    (0x400, b"H+", "hfsplus"),
+    (32, b"NXSB", "apfs"),
+    (0x4000, b"\x01\x01\x00\x00", "zfs-member"),
+    (0x1000, b"\xfc\x4e\x2b\xa9", "md-raid"),
+    (0x10034, b"ReIsEr", "reiserfs"),
     (0, b"hsqs", "squashfs"),
-    (0, b"LUKS\xba\xbe", "luks"),
-    (0x218, b"LVM2 001", "lvm2"),
-    (0xFF6, b"SWAPSPACE2", "swap"),
 ]
+#: A probe must be so sure that the file system is read.
+SURE = 0.5
+#: Group of entry points under which other packages offer a FileSystem.
+GROUP = "siltline.file_systems"
 
 
 @dataclass
@@ -78,15 +89,30 @@ class Registry:
     def add(self, fs: FileSystem) -> None:
         self.file_systems.append(fs)
 
+    def discover(self, group: str = GROUP) -> list[str]:
+        """Adds the file systems that installed packages offer as entry points; returns their names. One that can't be loaded is passed over."""
+        found = []
+        for point in sorted(entry_points(group=group), key=lambda p: p.name):
+            try:
+                fs = point.load()
+            except Exception as e:  # as above
+                logging.getLogger(__name__).warning("plugin %s can't be loaded: %s", point.name, e)
+                continue
+            if fs.name not in {x.name for x in self.file_systems}:
+                self.add(fs)
+                found.append(fs.name)
+        return found
+
     def detect(self, read: Read, size: int) -> tuple[FileSystem | None, str | None]:
-        """The surest file system that can be read, else the name of a signature. Probes that fail count as 0."""
+        """The surest file system that can be read, SURE at least, else the name of a signature. Probes that fail count as 0."""
         best, sure = None, 0.0
         for fs in self.file_systems:
             try:
                 found = fs.probe(read, size)
-            except (struct.error, ValueError):
+            except Exception as e:  # a plugin's fault must not end the run
+                logging.getLogger(__name__).warning("probe of %s failed: %s", fs.name, e)
                 found = 0.0
-            if found > sure:
+            if found >= SURE and found > sure:
                 best, sure = fs, found
         return (best, best.name) if best else (None, identify(read))
 
