@@ -91,7 +91,7 @@ def job_states(spark, sf_dir):
     return _jobs(spark, sf_dir).select("id", "state", (F.col("asked") & (F.col("state") == "running")).alias("cancelling"))
 
 
-@query("""WITH s AS (SELECT event_id, user_id AS job, epoch(ts)::BIGINT AS updated, event_type = 'view' AS runs FROM events), t AS (SELECT max(updated) AS now FROM s),
+@query("""WITH s AS (SELECT event_id, user_id AS job, CAST(floor(epoch(ts)) AS BIGINT) AS updated, event_type = 'view' AS runs FROM events), t AS (SELECT max(updated) AS now FROM s),
     p AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY updated DESC, event_id DESC) AS k FROM s)
     SELECT job, updated, runs, runs AND now - updated > 120 AS stale FROM p, t WHERE k = 1 AND (now - updated < 3600 OR (runs AND now - updated < 86400))""")
 def progress_snapshots(spark, sf_dir):
