@@ -64,17 +64,15 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def carve(images: list[str], out: str) -> int:
-    from siltline.operators.carve import MAX_BLOCK, carved
+    from siltline.operators.carve import carved
     from siltline.session import build_session, ship
     from siltline.sources.blockdev import assert_unchanged, fingerprints
-    from siltline.streaming.scan import scan_into, scan_stream
+    from siltline.streaming.scan import scan_rounds
 
     spark = build_session("carve")
     ship(spark)
     before = fingerprints(images)
-    query = scan_into(scan_stream(spark, images, 512, 64 << 20, MAX_BLOCK), carved, f"{out}/blocks", f"{out}/checkpoint")
-    query.processAllAvailable()
-    query.stop()
+    scan_rounds(spark, images, carved, f"{out}/blocks", block="512", prefilter="metadata")
     assert_unchanged(before)
     for row in spark.read.parquet(f"{out}/blocks").groupBy("member", "kind").count().orderBy("member", "kind").collect():
         print(f"{images[row['member']]}\t{row['kind']}\t{row['count']}")

@@ -86,10 +86,12 @@ def carved(blocks: DataFrame) -> DataFrame:
     data must reach to the end of the longest frame that begins in its sector: read with an overlap. Frames of one
     content that begin at one place come once. Raw (uncompressed) object sets are found by their own size.
     """
-    packed = blocks.where(may_be_compressed(F.col("data"))).select("member", "offset", unframed("data").alias("block"))
-    plain = blocks.select("member", "offset", F.explode(F.array(*[F.substring("data", 1, n) for n in (4096, 2048, 1024)])).alias("block")).where(F.length("block").isin(1024, 2048, 4096))
-    plain = plain.select("member", "offset", "block", kind_of("block").alias("kind")).where("kind = 'object_set'")
-    found = packed.where("block IS NOT NULL").select("member", "offset", "block", kind_of("block").alias("kind")).where("kind IS NOT NULL").unionByName(plain)
+    # one pass over the blocks: what a frame holds, and the block itself in the sizes of a bare object set
+    packed = F.struct(unframed(F.when(may_be_compressed(F.col("data")), F.col("data"))).alias("block"), F.lit(True).alias("packed"))
+    plain = [F.struct(F.substring("data", 1, n).alias("block"), F.lit(False).alias("packed")) for n in (4096, 2048, 1024)]
+    rows = blocks.select("member", "offset", F.explode(F.array(packed, *plain)).alias("x")).select("member", "offset", "x.block", "x.packed")
+    rows = rows.where(F.col("block").isNotNull() & (F.col("packed") | F.length("block").isin(1024, 2048, 4096)))
+    found = rows.withColumn("kind", kind_of("block")).where(F.when(F.col("packed"), F.col("kind").isNotNull()).otherwise(F.col("kind") == "object_set")).select("member", "offset", "block", "kind")
     return found.groupBy("member", "offset").agg(F.max_by(F.struct("kind", "block"), F.length("block")).alias("x")).select("member", "offset", "x.kind", F.length("x.block").alias("lsize"), "x.block")
 
 

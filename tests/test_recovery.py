@@ -161,6 +161,44 @@ def test_a_scan_goes_on_where_it_stopped(spark, image, tmp_path):
     assert sorted((r["offset"], r["kind"]) for r in run().collect()) == first
 
 
+def test_the_prefilter_loses_no_block(spark, image, tmp_path):
+    """The same blocks as with every sector and its overlap, over frames, bare object sets, and the ends of ranges."""
+    rng = random.Random(5)
+    raw = bytearray(rng.randbytes(3 << 20))
+    raw[1 << 20 : 2 << 20] = bytes(1 << 20)
+    frame = open(image[0], "rb").read()[4096 : 4096 + 5000]
+    for at in (0, 512 * 77, (1 << 20) - 1024, (3 << 20) - 6144):
+        raw[at : at + len(frame)] = frame
+    node = bytearray(4096)
+    node[0], node[1], node[2], node[3] = 10, 14, 1, 1
+    node[704:712] = (2).to_bytes(8, "little")
+    for at in ((1 << 20) + 512, (3 << 20) - 1024):
+        raw[at : at + 4096] = node[: (3 << 20) - at]
+    path = tmp_path / "odd.img"
+    path.write_bytes(raw)
+    rows = lambda df: sorted((r["offset"], r["kind"], bytes(r["block"])) for r in df.collect())
+    for p, n in ((str(path), 4), (image[0], 2)):
+        every = rows(carve.carved(load(spark, p, block=SECTOR, overlap=carve.MAX_BLOCK)))
+        assert len(every) >= n
+        assert rows(carve.carved(load(spark, p, block=SECTOR, prefilter="metadata", chunk=200 << 10))) == every
+    assert load(spark, str(path), block=SECTOR, prefilter="metadata").count() < 100
+
+
+def test_rounds_of_a_scan_are_done_once(spark, image, tmp_path):
+    from siltline.streaming.scan import scan_rounds
+
+    path, _ = image
+    other = tmp_path / "short.img"
+    other.write_bytes(open(path, "rb").read()[: 300 << 10])
+    table = str(tmp_path / "blocks")
+    run = lambda paths: scan_rounds(spark, paths, lambda df: carve.carved(df).drop("block"), table, 256 << 10, block="512", prefilter="metadata")
+    assert run([path, str(other)]) == list(range(8)) and run([path, str(other)]) == []
+    found = sorted((r["member"], r["offset"]) for r in spark.read.parquet(table).collect())
+    assert found == [(0, 4096), (0, 12288), (1, 4096), (1, 12288)]
+    assert run([path]) == list(range(8))
+    assert sorted((r["member"], r["offset"]) for r in spark.read.parquet(table).collect()) == [(0, 4096), (0, 12288)]
+
+
 def test_counts_of_a_stream_equal_those_of_the_table(spark, sf_dir, tmp_path):
     expected = sorted(tuple(r) for r in spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").agg(F.count("*"), F.max("event_id")).collect())
     for _ in range(2):
