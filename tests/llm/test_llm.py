@@ -686,7 +686,120 @@ def test_rules_learn_accuracies(spark):
 # queries and pipeline
 
 
-def test_pipeline_keeps_the_columns_and_its_stages_agree_with_their_operators(spark, sf_dir):
+def test_bpe_query_equals_the_library_on_the_whole_table(spark, sf_dir, reference):
+    from siltline.llm.queries import op4_bpe
+
+    sha = lambda x: hashlib.sha256(x).hexdigest()
+    expected = []
+    for i, t in pairs(table(spark, sf_dir, "documents")):
+        ids = reference.encode(t or "", add_special_tokens=False).ids
+        expected.append((i, len(ids), sha(np.array(ids, "<u4").tobytes()), sha(reference.decode(ids, skip_special_tokens=False).encode())))
+    found = op4_bpe(spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, found)) == sorted(expected)
+
+
+def test_pii_query_equals_the_patterns_on_the_whole_table(spark, sf_dir):
+    from siltline.llm.queries import op2_pii
+
+    expected = []
+    for i, t in pairs(table(spark, sf_dir, "documents")):
+        spans = base_spans(t)
+        kinds = collections.Counter(x.partition(":")[0] for x in spans.split(",") if x)
+        expected.append((i, *(kinds[k] for k, _, _ in BASE), hashlib.sha256(spans.encode()).hexdigest()))
+    rows = op2_pii(spark, sf_dir).collect()
+    assert sorted((r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"], r["base_sha256"]) for r in rows) == sorted(expected)
+    texts = dict(pairs(table(spark, sf_dir, "documents")))
+    for r in rows:
+        assert set(base_spans(texts[r["doc_id"]]).split(",")) <= set(r["spans"].split(","))
+
+
+def test_rules_query_equals_expectation_maximisation_in_a_loop(spark, sf_dir):
+    """Votes from the features, then EM over documents one by one, with plain probabilities."""
+    rows = rules.judged(table(spark, sf_dir, "documents")).collect()
+    names = list(rules.default_rules())
+    acc, prior = {r: [0.95, 0.3] for r in names}, 0.8
+
+    def share(row):
+        good, bad = prior, 1 - prior
+        for r in names:
+            if row[r] is not None:
+                good *= acc[r][0] if row[r] == 1 else 1 - acc[r][0]
+                bad *= acc[r][1] if row[r] == 0 else 1 - acc[r][1]
+        return good / (good + bad)
+
+    for _ in range(60):
+        post = [share(row) for row in rows]
+        new = {}
+        for r in names:
+            voted = [(p, row[r]) for p, row in zip(post, rows, strict=True) if row[r] is not None]
+            on = [(1 + sum(w for w, v in voted if v == 1)) / (2 + sum(w for w, _ in voted)), (1 + sum(1 - w for w, v in voted if v == 0)) / (2 + sum(1 - w for w, _ in voted))]
+            on = [min(0.999, max(0.001, x)) for x in on]
+            new[r] = [on[0], max(on[1], 1.02 - on[0])]
+        acc, prior = new, min(0.95, max(0.05, sum(post) / len(post)))
+    for row in rows:
+        expected = share(row)
+        assert abs(row["posterior"] - expected) < 1e-6
+        assert row["kept"] == (not row["base_failed"] and expected >= 0.5) or abs(expected - 0.5) < 1e-6
+
+
+def test_very_long_texts(spark):
+    """Texts of 3 MB through every operator on documents."""
+    import public_tokenizers
+
+    rng = random.Random(12)
+    vocab = [f"w{i}" for i in range(5000)]
+    long = " ".join(rng.choices(vocab, k=500_000))
+    copy = long.replace(" w7 ", " w8 ", 40)
+    item = " ".join(long.split()[250_000:250_030])
+    docs = spark.createDataFrame([(1, long), (2, copy), (3, "x" * 3_000_000), (4, "short text")], "doc_id long, text string").repartition(2)
+    from siltline.session import cut
+
+    docs = cut(docs)
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs).collect()) == [1, 3, 4]
+    leaks = decontam.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).collect()
+    assert {(r["id"], r["matches"][0]["similarity"]) for r in leaks} >= {(1, 1.0)} and {r["id"] for r in leaks} <= {1, 2}
+    n = {r["id"]: r["n_tokens"] for r in lm.BackoffScorer().score(docs, F.lit(True)).collect()}
+    assert n == {1: 500_001, 2: 500_001, 3: 2, 4: 3}
+    model = toxicity.ToxicityModel(np.zeros(toxicity.BUCKETS, np.float32), -1.0)
+    assert all(abs(r["score"] - 1 / (1 + math.e)) < 1e-9 for r in toxicity.scored(docs, model).collect())
+    removed = {r["id"]: (r["n_words"], r["n_removed"]) for r in substring.SubstringDedup().run_on(docs).collect()}
+    assert removed[1][0] == 500_000 and removed[1][1] > 450_000 and removed[4] == (2, 0)
+    assert {r["doc_id"]: r["n_words"] for r in rules.judged(docs.where("doc_id > 2")).collect()} == {3: 1, 4: 2}
+    assert bpe.digests(docs.where("doc_id >= 3"), public_tokenizers.path("byte_bpe_50k.json")).count() == 2
+    assert pii.spans_of(docs).where("spans != ''").count() == 0
+
+
+def test_names_that_clash_with_inner_ones(spark):
+    texts = ["one two three four five six", "stupid words here", "one two three four five six"]
+    docs = spark.createDataFrame([(i, t, 0.25, 7, b"x", 1) for i, t in enumerate(texts)], "doc_id long, text string, toxicity__ double, row__ int, print__ binary, fp__ int")
+    model = toxicity.train(pa.array(["fine day", "bad insult"] * 20), np.array([0, 1] * 20))
+    kept = toxicity.without_toxic(docs, model)
+    assert kept.columns == docs.columns and kept.where("toxicity__ != 0.25").count() == 0
+    left = simhash.keep_one(docs)
+    assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == [0, 1] and left.where("row__ != 7 OR fp__ != 1").count() == 0
+
+
+
+def leaks_into(text, items, similarity=0.8):
+    """Whether a window of the text, of an item's size, is as similar to it by weighted five-word shingles."""
+    plain = lambda t: decontam.plain_words(pa.array([t], pa.string()))[1].to_pylist()
+    bag = lambda w, n: collections.Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1))
+    w = plain(text)
+    for _, t in items:
+        item = plain(t)
+        if not item or len(set(w) & set(item)) * 2 < len(set(item)):
+            continue
+        n, size = min(5, len(item)), min(len(item), len(w))
+        target = bag(item, n)
+        for s in range(len(w) - size + 1):
+            window = bag(w[s : s + size], n)
+            both = (window & target).total()
+            if both and both / (window.total() + target.total() - both) >= similarity:
+                return True
+    return False
+
+
+def test_pipeline_keeps_the_columns_and_its_stages_agree_with_their_operators(spark, sf_dir, reference):
     import corpus_pipeline
 
     docs = table(spark, sf_dir, "documents")
@@ -700,8 +813,22 @@ def test_pipeline_keeps_the_columns_and_its_stages_agree_with_their_operators(sp
             assert whole.columns == docs.columns
         if name == "near_duplicates":
             assert ids[-1] == set(brute_kept(pairs(before)))
+        rows = {r["doc_id"]: r for r in whole.collect()}
+        if name == "toxicity":
+            model = toxicity.fit(before, table(spark, sf_dir, "labels"), ~lm.held_out("doc_id", 5, 0))
+            scores = {i: float(model.score(pa.array([t]))[0]) for i, t in pairs(before)}
+            assert set(rows) == {i for i, p in scores.items() if p < 0.5}
+        if name == "decontamination":
+            items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "benchmark").collect()]
+            assert set(rows) == {i for i, t in pairs(before) if not leaks_into(t, items)}
         if name == "personal_data":
-            assert not any(pii.find(r["text"]) for r in whole.collect() if "<" not in r["text"])
+            assert not any(pii.find(r["text"]) for r in rows.values() if "<" not in r["text"])
+            assert {i: r["text"] for i, r in rows.items()} == {i: pii.masked(t) for i, t in pairs(before)}
+            assert all(r["n_chars"] == len(r["text"]) for r in rows.values())
+        if name == "encoding":
+            for i, t in pairs(before):
+                tokens = reference.encode(t, add_special_tokens=False).ids
+                assert rows[i]["token_ids"] == tokens and rows[i]["n_tokens"] == len(tokens) and rows[i]["text"] == t
     assert ids[0] >= ids[1] >= ids[2] >= ids[3] == ids[4]
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == sorted(ids[4])
 
