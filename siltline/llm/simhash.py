@@ -42,7 +42,7 @@ SET_BYTES, BROADCAST_ROWS = 8 << 20, 1 << 20
 #: Links that a task holds before it contracts them.
 LINKS = 1 << 18
 #: Buckets above this many fingerprints are compared block by block; those of sets have smaller blocks.
-BLOCK, SET_BLOCK = 4096, 1024
+BLOCK, SET_BLOCK = 4096, 512
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _PLACE = (np.arange(8, dtype=np.int64) * 256)[None, :]
