@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from siltline.session import cut
 
 
-#: Up to so many edges, all those of one node may meet in one task.
-HUB = 1 << 18
+#: Up to FEW edges, all those of one node may meet in one task; up to HUB in the small stars, where few nodes have many.
+FEW, HUB = 1 << 14, 1 << 18
 
 
 def _state(edges: DataFrame):
@@ -34,7 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         # sides; few edges make no hub worth the additional jobs
         held = cut if state[0] > HUB else lambda df: df
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = held(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        least = (cut if state[0] > FEW else held)(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = held(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # large holds (greater, lesser) rows only: the small star of u is over its lesser neighbours
         least = held(large.groupBy("u").agg(F.min("v").alias("m")))

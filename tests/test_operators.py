@@ -178,7 +178,8 @@ def test_components_of_a_hub_in_every_plan(spark, monkeypatch):
     edges = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(1000, 1300)] + [(5000 + k, 9999) for k in range(300)] + [(7, 7), (8000, 8000), (None, 3)]
     df = spark.createDataFrame(edges, "src long, dst long")
     expected = {k: 0 for k in range(400)} | {k: 1000 for k in range(1000, 1301)} | {k: 5000 for k in [*range(5000, 5300), 9999]} | {8000: 8000}
-    for hub in (1 << 18, 0):
+    for few, hub in ((1 << 14, 1 << 18), (0, 1 << 18), (0, 0)):
+        monkeypatch.setattr(graph, "FEW", few)
         monkeypatch.setattr(graph, "HUB", hub)
         assert {r["node"]: r["component"] for r in graph.connected_components(df).collect()} == expected
 
