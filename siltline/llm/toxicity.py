@@ -192,11 +192,14 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rounds: int = 10
     del words
     ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int32)
     n = len(coded.dictionary)
-    owner = np.repeat(np.arange(len(texts)), np.diff(at))
-    pairs = np.unique(owner * n + ids)
-    held = np.bincount(pairs % n, minlength=n)
-    toxic = np.bincount(pairs % n, labels[pairs // n].astype(float), n) / held
-    del pairs, owner
+    held, toxic = np.zeros(n, np.int64), np.zeros(n)
+    for block in range(0, len(texts), TEXTS):
+        inner = at[block : block + TEXTS + 1]
+        owner = np.repeat(np.arange(len(inner) - 1), np.diff(inner))
+        pairs = np.unique(owner * n + ids[inner[0] : inner[-1]])
+        held += np.bincount(pairs % n, minlength=n)
+        toxic += np.bincount(pairs % n, labels[block : block + TEXTS][pairs // n].astype(float), n)
+    toxic /= held
     trainer = _Trainer(coded.dictionary, seed)
     for _ in range(epochs):
         for some in np.array_split(rng.permutation(n), max(1, n // batch)):
@@ -225,7 +228,10 @@ def train(texts: pa.Array, labels: np.ndarray, epochs: int = 3, rounds: int = 10
         for _ in range(-(-STEPS // parts)):
             for part in np.array_split(rng.permutation(len(some)), parts):
                 trainer.step(some[part], target[part], weight[part], 0.02 if k < rounds // 2 else 0.01)
-    return ToxicityModel(*trainer.margins())
+    model = ToxicityModel(*trainer.margins())
+    del trainer, coded
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text") -> ToxicityModel:
